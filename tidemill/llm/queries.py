@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import url_filter
+from tidemill.llm import merkle, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(_table(spark, sf_dir, "documents")).drop("edited_section", "edited_paragraph")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label string")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.train_from_table(labelled), url_filter.RULES)
@@ -21,4 +25,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_merkle_fingerprint": merkle.ORACLE_SQL}
