@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import merkle, url_filter
+from tidemill.llm import byte_bpe, merkle, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_table(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+
+
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(_table(spark, sf_dir, "documents")).drop("edited_section", "edited_paragraph")
 
