@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, merkle, url_filter
+from tidemill.llm import byte_bpe, merkle, reshard, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old shard of a document is the hash of its source, so a large source fills one."""
+    old_shard = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
+    return reshard.reshard(_table(spark, sf_dir, "documents"), old_shard, shards=16)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_table(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
