@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, merkle, reshard, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, reshard, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.held_out("doc_id", 5, 0)
+    found = language_id.predict(docs, language_id.train_from_table(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shard of a document is the hash of its source, so a large source fills one."""
     old_shard = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
