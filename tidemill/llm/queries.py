@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, reshard, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, reshard, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(_table(spark, sf_dir, "documents")).drop("edited_section", "edited_paragraph")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train_from_table(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label string")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.train_from_table(labelled), url_filter.RULES)

@@ -7,6 +7,7 @@ A text is lower-cased (A-Z only) and cut into words, the maximal runs of bytes o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,24 +68,44 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words; words before each text (with the end); byte starts and ends of the words, from the first text's start."""
+@dataclass
+class Words:
+    """The words of a string column: bytes where each starts and stops, and how many words come before each text (with the end)."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    before: np.ndarray
+    _sums: np.ndarray
+
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first bytes up to longest."""
+        stops = self.stops if longest is None else np.minimum(self.stops, self.starts + longest)
+        factors = _power(_INVERSE, len(self._sums))[self.starts]
+        return mix((self._sums[stops] - self._sums[self.starts]) * factors + (stops - self.starts).astype(np.uint64))
+
+
+def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
+    """The words of all texts; space says which bytes stand between words."""
     data, offsets = raw(texts)
     data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     n = len(data)
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    cuts = offsets[(offsets > 0) & (offsets < n)]
-    begins[cuts] = inside[cuts]  # a word never runs on into the next text
-    ends = inside.copy()
     ends[:-1] &= ~inside[1:]
+    cuts = offsets[(offsets > 0) & (offsets < n)]  # a word never runs on into the next text
+    begins[cuts] = inside[cuts]
     ends[cuts - 1] = inside[cuts - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    before = np.searchsorted(starts, offsets)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n)[:n], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * _power(_INVERSE, n + 1)[starts] + (stops - starts).astype(np.uint64)), before, starts, stops
+    return Words(starts, stops, np.searchsorted(starts, offsets), sums)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the words before each text (with the end)."""
+    found = words(texts)
+    return found.hashes(), found.before
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
