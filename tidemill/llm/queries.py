@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, reshard, template_decontam, toxicity, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, reshard, suffix_tree_lm, template_decontam, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.held_out("doc_id", 7, 2)
+    found = suffix_tree_lm.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score")
+
+
 def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shard of a document is the hash of its source, so a large source fills one."""
     old_shard = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
