@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, reshard, suffix_tree_lm, template_decontam, toxicity, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, ngram_join, reshard, suffix_tree_lm, template_decontam, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.held_out("doc_id", 7, 2)
     found = suffix_tree_lm.score(_table(spark, sf_dir, "documents"), ~held_out)
