@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, ngram_join, reshard, suffix_tree_lm, template_decontam, toxicity, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, ngram_join, reshard, substring_dedup, suffix_tree_lm, template_decontam, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(_table(spark, sf_dir, "documents")).drop("edited_section", "edited_paragraph")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", "cluster", "kept_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.grade(docs, toxicity.train_from_table(docs, _table(spark, sf_dir, "labels")))
