@@ -193,14 +193,14 @@ def held_out(id_col: str, of: int, remainder: int) -> Column:
 
 def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is not rejected, with their columns as they are."""
+    if not model.languages:
+        return docs.where(F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-
-        return pd.Series(np.concatenate([shared.value.probabilities(part.column(0)).max(axis=1) >= shared.value.threshold for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), "t")] or [np.zeros(0, bool)]))
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(model.probabilities(part.column(text_col)).max(axis=1) >= model.threshold))
 
-    if not model.languages:
-        return docs.where(F.lit(False))
-    return docs.where(F.col(text_col).rlike(r"\p{L}") & kept(F.col(text_col)))
+    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
