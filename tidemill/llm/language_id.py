@@ -29,7 +29,7 @@ BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 WIDTH = 16
 #: Training takes at most so many rows of each language, and none longer than so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
 #: The share of held-back rows, correctly labelled, that calibrated rejection may lose.
 REJECTED_SHARE = 0.001
 
@@ -101,7 +101,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2
     rows = []
     for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
         ids, before = subwords(part.column(0))
-        rows += [np.unique(ids[a:b], return_counts=True) for a, b in zip(before, before[1:], strict=False)]
+        for a, b in zip(before, before[1:], strict=False):
+            own, times = np.unique(ids[a:b], return_counts=True)
+            rows.append((own, times.astype(np.int32)))
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     held, seen = np.split(order, [len(y) // 10])
@@ -156,10 +158,10 @@ def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", la
     for r in drawn:
         share = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE_ROWS / r["n"])).otherwise(share)
     sample = rows.where(F.col("draw").cast("double") < (share * 2.0 - 1.0) * F.lit(2.0**63)).select("draw", "lang", "text")
-    found = sample.toPandas().sort_values(["draw", "lang", "text"])
-    if found.empty:
+    found = sample.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    if not found.num_rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    return train(found["text"].tolist(), found["lang"].tolist())
+    return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
