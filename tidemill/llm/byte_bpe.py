@@ -32,7 +32,7 @@ from tidemill.llm.words import slices
 #: Texts are encoded together up to so many bytes.
 ENCODED_BYTES = 4_000_000
 #: Pre-tokens longer than this are encoded anew each time, and the table starts anew at so many entries.
-KEPT_BYTES, KEPT_ENTRIES = 48, 300_000
+KEPT_BYTES, KEPT_ENTRIES = 48, 150_000
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
