@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tidemill.llm.words import slices
 
 #: Texts are encoded together up to so many bytes.
-ENCODED_BYTES = 4_000_000
+ENCODED_BYTES = 1_500_000
 #: Pre-tokens longer than this are encoded anew each time, and the table starts anew at so many entries.
 KEPT_BYTES, KEPT_ENTRIES = 48, 150_000
 
