@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemill.llm.words import slices
+from tidemill.llm.words import bound_batches, slices
 
 #: Texts are encoded together up to so many bytes.
 ENCODED_BYTES = 1_500_000
@@ -219,6 +219,7 @@ def encode_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     vocabulary: the path of a tiktoken file of ranks. The driver reads it (it is under a megabyte) and broadcasts it.
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         lines = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -245,6 +246,7 @@ def decode_table(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_
     """encoded with one more column: the text decoded from its ids."""
     from pyspark.sql import functions as F
 
+    bound_batches(encoded.sparkSession)
     with open(vocabulary, "rb") as file:
         lines = encoded.sparkSession.sparkContext.broadcast(file.read())
 

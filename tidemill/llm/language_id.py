@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import _LOWER, group_sum, raw, slices
+from tidemill.llm.words import _LOWER, bound_batches, group_sum, raw, slices
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -166,6 +166,7 @@ def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", la
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (the calibrated probability of lang_pred) and rejected."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -197,6 +198,7 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """The rows of docs whose text is not rejected, with their columns as they are."""
     if not model.languages:
         return docs.where(F.lit(False))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

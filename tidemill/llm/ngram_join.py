@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
 from tidemill.llm.storage import written
-from tidemill.llm.words import group_sum, mix, shingles, slices, word_hashes
+from tidemill.llm.words import bound_batches, group_sum, mix, shingles, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, RECALL = 5, 0.999
@@ -153,7 +153,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts that are equal but for white space and case; n_links: the other rows that the text is linked to, its copies
     among them; n_class_links: the different texts that it is linked to.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(own, "id", "text", band_count(threshold, ROWS, recall)), "join-signatures")
     classes = signed.where("key is not null").groupBy("key", "check").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))

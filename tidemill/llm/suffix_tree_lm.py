@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import _LOWER, Words, group_sum, raw, slices, words
+from tidemill.llm.words import _LOWER, Words, bound_batches, group_sum, raw, slices, words
 
 DEPTH, SYMBOLS = 5, 64
 MIN_SHARE, MIN_EVIDENCE, PARENT_WEIGHT = 5e-6, 20.0, 8.0
@@ -205,6 +205,7 @@ def token_hashes(found: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", tree: Tree | None = None) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score, tree_score (the tree's alone) of every row; training says which rows are learned from."""
     spark = docs.sparkSession
+    bound_batches(spark)
     tree = tree or train_tree(docs.where(training), text_col)
     shared = spark.sparkContext.broadcast(tree)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import slices, words
+from tidemill.llm.words import bound_batches, slices, words
 
 BUCKETS = 1 << 20
 PREFIX = 5
@@ -129,6 +129,7 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def train_from_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", binary: bool = True) -> Model:
     """The model from a sample of the labelled documents. binary: the labels are 0 or 1, and severity_grades makes grades of them; else they are grades."""
+    bound_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("grade")).where("grade >= 0 and id is not null")
     n = marked.count()
     if n > SAMPLE_ROWS:
@@ -151,6 +152,7 @@ def train_from_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, severity (the expected grade), grade (the most probable) and toxic (grade 0 has a probability below a half)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import group_sum, mix, raw
+from tidemill.llm.words import bound_batches, group_sum, mix, raw
 
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4, 5)
@@ -152,6 +152,7 @@ def train_from_table(labelled: DataFrame, url: str = "url", label: str = "label"
 
 def filter_urls(pages: DataFrame, weights: np.ndarray, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's probability that the url is to be blocked."""
+    bound_batches(pages.sparkSession)
     url = F.col(url_col)
     host, path = host_and_path(url)
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 500_000
+SLICE_BYTES, BATCH_BYTES = 500_000, 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,6 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers Arrow batches of at most BATCH_BYTES, or of one row; else 10,000 long texts would come at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in pieces whose texts hold about limit bytes; a longer text comes alone."""
     column_at = batch.schema.get_field_index(column)
