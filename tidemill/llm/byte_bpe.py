@@ -235,6 +235,7 @@ def encode_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                     pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names)
+        bpe.kept.clear()  # the worker lives on
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kind = docs.schema[id_col].dataType.simpleString()

@@ -29,10 +29,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0, 1, ... modulo 2 ** 64, at least n of them."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        have = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _powers[base] = have
     return have
 
