@@ -124,7 +124,7 @@ def _linked(sets: list[np.ndarray], copies: np.ndarray, cut: int | None, thresho
     left, right = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     both = common(sets, left, right)
-    linked = both * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right]) - 1e-6
+    linked = both.astype(np.float64) * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right]) - 1e-6
     if cut is None:
         np.fill_diagonal(linked, False)
     links, weight, label = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)

@@ -6,7 +6,7 @@ a text has. Weights are learned in numpy from a bounded sample of labelled rows,
 features whose presence depends on the label (chi squared); the model is one vector of BUCKETS
 weights, broadcast at that fixed size, and whole texts are graded map-only.
 
-Defined results: a null or empty text has no features; so has one without letters or digits. If
+Defined results: a text that is null, or has no letter or digit, has no features and severity 0. If
 no labelled row exists, every text has severity 0. Labels without a document, and null labels, are not used. Repeated
 rows are graded alike; an empty table gives an empty table; only the named columns are read.
 """
@@ -47,9 +47,8 @@ class Model:
     weights: np.ndarray  # BUCKETS
     thresholds: np.ndarray  # ascending, one less than there are grades
 
-    def linear(self, texts: pa.Array) -> np.ndarray:
-        """w.x for each text; a feature counts once, however often it comes."""
-        ids, before = features(texts)
+    def linear(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """w.x for each text, from what features gives; a feature counts once, however often it comes."""
         hit = np.flatnonzero(self.weights[ids])
         owner = np.searchsorted(before, hit, side="right") - 1
         pairs = np.unique(owner * BUCKETS + ids[hit])
@@ -160,7 +159,9 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                above = model.above(model.linear(part.column("text")))
+                ids, before = features(part.column("text"))
+                above = model.above(model.linear(ids, before))
+                above[np.diff(before) == 0] = 0.0
                 each = -np.diff(np.pad(above, ((0, 0), (1, 1)), constant_values=((0, 0), (1, 0))), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] > 0.5)], ["id", "severity", "grade", "toxic"])
 
