@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemill.llm.words import bound_batches, slices
+from tidemill.llm.words import bound_batches, releasing, slices
 
 #: Texts are encoded together up to so many bytes.
 ENCODED_BYTES = 1_500_000
@@ -223,6 +223,7 @@ def encode_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     with open(vocabulary, "rb") as file:
         lines = docs.sparkSession.sparkContext.broadcast(file.read())
 
+    @releasing
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(lines.value, pattern)
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import _LOWER, bound_batches, group_sum, raw, slices
+from tidemill.llm.words import _LOWER, bound_batches, group_sum, raw, releasing, slices
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -170,6 +170,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -201,6 +202,7 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

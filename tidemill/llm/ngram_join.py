@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
 from tidemill.llm.storage import written
-from tidemill.llm.words import bound_batches, group_sum, mix, shingles, slices, word_hashes
+from tidemill.llm.words import bound_batches, group_sum, mix, releasing, shingles, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, RECALL = 5, 0.999
@@ -68,6 +68,7 @@ def text_keys(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nd
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int = ROWS) -> DataFrame:
     """id, key, check (the text's word sequence) and bands of every text with a word; of the others, id alone."""
 
+    @releasing
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -88,6 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """key and the sorted different shingle hashes, as binary, of each of docs (columns id and text)."""
 
+    @releasing
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -6,7 +6,9 @@ A text is lower-cased (A-Z only) and cut into words, the maximal runs of bytes o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +51,19 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def releasing(each: Callable) -> Callable:
+    """each, a function of a task's Arrow batches, that at its end gives freed memory back to the system: the worker lives on beside other stages."""
+
+    @functools.wraps(each)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in pieces whose texts hold about limit bytes; a longer text comes alone."""
     column_at = batch.schema.get_field_index(column)
