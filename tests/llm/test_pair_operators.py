@@ -69,6 +69,15 @@ def test_join_of_repeated_rows_null_ids_and_nothing(spark):
     assert ngram_join.join_groups(docs.limit(0)).count() == 0
 
 
+def test_first_of_each_group_removes_rows_not_ids(spark):
+    rows = [(1, "a b c d e f", 1), (None, "a b c d e f", 2), (None, "unlike all others", 3), (None, None, 4), (5, "g h i j k l", 5), (6, "g h i j k l", 6), (6, "a clean namesake", 7), (None, "m n o p q", 8), (None, "m n  o p q", 9), (None, "m n o p q", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = ngram_join.first_of_each_group(docs)
+    assert kept.columns == docs.columns
+    found = sorted(r.row for r in kept.collect())
+    assert found[:5] == [1, 3, 4, 5, 7] and len(found) == 6 and found[5] in (8, 9, 10)
+
+
 def test_band_count_meets_recall():
     n = ngram_join.band_count(0.8, 5, 0.999)
     assert 1 - (1 - 0.8**5) ** n >= 0.999 > 1 - (1 - 0.8**5) ** (n - 1)

@@ -66,7 +66,7 @@ def text_keys(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int = ROWS) -> DataFrame:
-    """id, key, check (the text's word sequence) and bands of every text with a word; of the others, id alone."""
+    """id, raw (a hash of the text as it is), key, check (the text's word sequence) and bands of every text with a word; of the others, id and raw alone."""
 
     @releasing
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +80,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 if len(grams):
                     found[~empty] = minhash_bands(grams, np.append(at[:-1][~empty], at[-1]), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(found.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key.view(np.int64), mask=empty), pa.array(check.view(np.int64), mask=empty), lists], ["id", "key", "check", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(key.view(np.int64), mask=empty), pa.array(check.view(np.int64), mask=empty), lists], ["id", "raw", "key", "check", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(signed, f"id {kind}, key long, check long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).mapInArrow(signed, f"id {kind}, raw long, key long, check long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -155,10 +155,15 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts that are equal but for white space and case; n_links: the other rows that the text is linked to, its copies
     among them; n_class_links: the different texts that it is linked to.
     """
+    return _joined(docs, id_col, text_col, threshold, recall).drop("raw", "lead")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """join_groups with two columns more: raw, a hash of the row's text as it is, and lead, the row that stands for the group (null for a text without words)."""
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(own, "id", "text", band_count(threshold, ROWS, recall)), "join-signatures")
-    classes = signed.where("key is not null").groupBy("key", "check").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.where("key is not null").groupBy("key", "check").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("lead"))
     classes = written(classes, "join-classes")
 
     # Classes that share a band: one edge from each to the least class of the bucket.
@@ -204,17 +209,26 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = written(placed.groupBy("task", "low", "high").applyInArrow(compared, "node long, links long, weight long, least long"), "join-links")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     groups = components(linked.where("links > 0").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    known = classes.select("key", "check", "copy_id", "copies").join(counts.withColumnRenamed("node", "key"), "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    known = classes.select("key", "check", "copy_id", "copies", "lead").join(counts.withColumnRenamed("node", "key"), "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
     known = written(known.withColumn("component", F.coalesce("component", "key")), "join-known")
-    least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    known = known.join(least, "component").drop("component")
+    least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("lead").alias("lead"))
+    known = known.drop("lead").join(least, "component").drop("component")
     return signed.drop("bands").join(known, ["key", "check"], "left").select(
         F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("weight", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"),
+        F.coalesce(F.col("copies") - 1 + F.coalesce("weight", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"), "raw", "lead",
     )
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns as they are, whose id is the least of its group."""
-    gone = written(join_groups(docs, id_col, text_col).where("not (class_id <=> " + f"`{id_col}`)").select(F.col(id_col).alias("gone id")).distinct(), "join-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(id_col).eqNullSafe(F.col("gone id")), "left_anti")
+    """The rows of docs, with their columns as they are, but of each group one row only: that of the least id, and of equal ids that of the least hash of its text.
+
+    A row is known by its id and text, so others that share its id, or have none, stay as they are. Of rows of equal id and text, one stays.
+    """
+    name = f"`{id_col}`"
+    rows = _joined(docs, id_col, text_col).where("n_links > 0").groupBy(F.col(name).alias("gone id"), F.col("raw").alias("gone raw"), "lead").agg(F.count("*").alias("gone rows"))
+    rows = written(rows.withColumn("is lead", F.col("gone id").eqNullSafe(F.col("lead.id")) & (F.col("gone raw") == F.col("lead.raw"))).drop("lead"), "join-gone")
+    again = rows.where("`is lead` and `gone rows` > 1").select("gone id", "gone raw")
+    same = F.col(name).eqNullSafe(F.col("gone id")) & (F.xxhash64(text_col) == F.col("gone raw"))
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    once = docs.join(sized(again), same, "left_semi").withColumn("own raw", F.xxhash64(text_col)).dropDuplicates([id_col, "own raw"]).drop("own raw")
+    return docs.join(sized(rows.where("not `is lead` or `gone rows` > 1").select("gone id", "gone raw")), same, "left_anti").unionByName(once)
