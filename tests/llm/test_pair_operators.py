@@ -107,6 +107,28 @@ def test_no_repeated_passage_stays_and_each_removed_one_has_its_like_before(spar
     assert all(left[i] == t for i, t, _ in corpus if i not in touched and (t or "").strip())
 
 
+def test_a_passage_of_which_earlier_documents_hold_only_pieces_is_cut(spark):
+    rng = random.Random(11)
+    rows, whole = [], {}
+    for k in range(40):
+        passage = prose(rng, rng.randrange(50, 61))
+        for j, part in enumerate((passage[:45], passage[-45:], passage, passage, passage)):
+            rows.append((5 * k + j, " ".join(prose(rng, 60) + part + prose(rng, 60))))
+        whole[5 * k + 3] = whole[5 * k + 4] = (len(passage), 5 * k + 2)
+    found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.kept_id) for r in found if r.first_word == 60} == whole and len(found) == len(whole)
+
+
+def test_two_short_runs_with_other_words_between_them_are_no_passage(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        left, right = prose(rng, 36), prose(rng, 36)
+        for j in range(2):
+            rows.append((2 * k + j, " ".join(prose(rng, 60) + left + [f"own{k}x{j}"] + right + prose(rng, 60))))
+    assert substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_substring_dedup_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "doc_id long, text string")
     assert substring_dedup.repeats(docs).count() == 0 and substring_dedup.repeats(docs.limit(0)).count() == 0

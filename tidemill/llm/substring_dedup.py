@@ -9,8 +9,9 @@ Each paragraph gets band hashes from a MinHash of its shingles; rows per band ar
 follows from the recall asked for. Bands that two texts share make paragraphs collide; unequal ones
 that collide are verified by the exact Jaccard similarity of their shingle sets, and components of
 equal or verified paragraphs are clusters. A cluster's first paragraph, by document id and place, is
-kept. The others are followed word by word in both texts; a run of MIN_WORDS words or more goes, and so does
-a line whose verified like comes earlier. Equal texts are compared once: of a text of MIN_WORDS words
+kept. Around paragraphs that another text has with the same words on one side, every window of MIN_WORDS words is
+compared by a hash of all its words: each goes that an earlier text has too, and windows that overlap or touch make one passage.
+A line goes whose verified like comes earlier. Equal texts are compared once: of a text of MIN_WORDS words
 or more, all rows go but those of the least id. As each removed passage has its like before it, one copy always stays.
 
 No group is gathered: a bucket or a cluster is known by its least member, which Spark
@@ -214,18 +215,21 @@ def _sets(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([asked.field("key"), pa.array(sets, pa.binary())], ["key", "set"])
 
 
-def _beside(part: pa.RecordBatch) -> pa.RecordBatch:
-    """The words before and after the places that are asked for, nearest first, as hashes."""
-    found = words(part.column("text"))
-    hashes, before = found.hashes().astype(np.uint32).view(np.int32), found.before
+def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The different windows of MIN_WORDS words that hold a paragraph that is asked for: text, first word and a hash of the words."""
+    found = Paragraphs(part.column("text"))
     row, asked = _flat(part, "asked")
-    place, ahead = before[row] + asked.field("place").to_numpy(), asked.field("ahead").to_numpy(zero_copy_only=False)
-    step = np.arange(SPACING - 1)
-    at = np.where(ahead[:, None], place[:, None] + step, place[:, None] - 1 - step)
-    inside = (at >= before[row][:, None]) & (at < before[row + 1][:, None])
-    offsets = np.concatenate(([0], np.cumsum(inside.sum(axis=1)))).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[at[inside]]))
-    return pa.RecordBatch.from_arrays([pa.array(part.column("t").to_numpy()[row]), asked.field("place"), asked.field("ahead"), lists], ["t", "place", "ahead", "beside"])
+    place = found.before[row] + asked.field("place").to_numpy()
+    low = np.maximum(place - (MIN_WORDS - PARAGRAPH), found.before[row])
+    high = np.minimum(place, found.before[row + 1] - MIN_WORDS)
+    change = np.zeros(len(found.hashes) + 2, dtype=np.int64)
+    some = high >= low
+    np.add.at(change, low[some], 1)
+    np.add.at(change, high[some] + 1, -1)
+    start = np.flatnonzero(np.cumsum(change))
+    owner = np.searchsorted(found.before, start, side="right") - 1
+    key = found.keys(start, start + MIN_WORDS)
+    return pa.RecordBatch.from_arrays([pa.array(part.column("t").to_numpy()[owner]), pa.array((start - found.before[owner]).astype(np.int32)), pa.array(key.view(np.int64))], ["t", "place", "window"])
 
 
 @releasing
@@ -251,12 +255,6 @@ def _asked(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return some.join(lists.hint("shuffle_hash"), "t").select("t", "text", "asked")
 
 
-def _run(a: Column, b: Column) -> Column:
-    """How many entries two arrays have in common from their beginning."""
-    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
-    return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
-
-
 def _text_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -293,39 +291,39 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = written(own.groupBy("t").agg(F.min(F.struct("id"))["id"].alias("first_id"), F.count("*").alias("rows")), "passages-texts")
     one_each = own.join(_sized(first.where("rows > 1").select("t", "first_id"), first.where("rows > 1").count()), "t", "left").where("first_id is null or id <=> first_id").select("t", "text")
     clusters = _clusters(one_each, hits)
-    found = hits.select("t", "place", "n", "key", "ahead", "behind").distinct().join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")).drop("key")
+    found = hits.select("t", "place", "n", "key", "ahead", "behind").distinct().join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     found = written(found.join(first.select("t", "first_id"), "t"), "passages-found")
 
-    # Of all paragraphs in one cluster with the same words on one side, the first is followed.
+    # Of lines in one cluster, all but the first text's go.
     is_line = F.col("n") != PARAGRAPH
-    groups = F.explode(F.array_compact(F.array(
-        F.when(is_line, F.xxhash64(F.lit(0), "cluster")),
-        F.when(~is_line & F.col("ahead").isNotNull(), F.xxhash64(F.lit(1), "cluster", "ahead")),
-        F.when(~is_line & F.col("behind").isNotNull(), F.xxhash64(F.lit(2), "cluster", "behind")),
-    ))).alias("group")
-    grouped = found.select("t", "place", "n", "cluster", "first_id", groups)
-    leaders = grouped.groupBy("group").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("group", "lead")
-    led = written(grouped.join(leaders, "group").where(F.col("t") != F.col("lead.t")).select("t", "place", "n", "cluster", "first_id", "lead").distinct(), "passages-led")
-
-    # Paragraphs in a row that follow the same text at the same distance are one chain, which is followed from both ends.
-    chains = led.where(~is_line).groupBy("t", "first_id", F.col("lead.t").alias("lead_t"), F.col("lead.first_id").alias("kept_id"), (F.col("place") - F.col("lead.place")).alias("shift")).agg(
-        F.array_sort(F.collect_set("place")).alias("places"), F.min("cluster").alias("cluster")
-    )
-    starts = F.filter("places", lambda p, i: (i == 0) | (p - F.get("places", i - 1) > SPACING))
-    stops = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.get("places", (i + 1).cast("int")) - p > SPACING))
-    chains = chains.select("t", "first_id", "lead_t", "kept_id", "shift", "cluster", F.explode(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))).alias("c"))
-    chains = chains.select("t", "first_id", "lead_t", "kept_id", "shift", "cluster", F.col("c.start").alias("start"), (F.col("c.stop") + PARAGRAPH).alias("stop"))
-    chains = written(chains, "passages-chains")
-    ends = F.explode(F.array(*[F.struct(t.alias("t"), place.cast("int").alias("place"), F.lit(ahead).alias("ahead")) for t, less in ((F.col("t"), F.lit(0)), (F.col("lead_t"), F.col("shift"))) for place, ahead in ((F.col("start") - less, False), (F.col("stop") - less, True))])).alias("e")
-    beside = written(_mapped(_asked(one_each, chains.select(ends).select("e.*")), _beside, "t long, place int, ahead boolean, beside array<int>"), "passages-beside")
-    for name, t, place, ahead in (("a", "t", "start", False), ("b", "lead_t", "start", False), ("c", "t", "stop", True), ("d", "lead_t", "stop", True)):
-        at = F.col(place) - (F.col("shift") if t == "lead_t" else 0)
-        side = beside.where(F.col("ahead") == ahead).select(F.col("t").alias(f"t {name}"), F.col("place").alias(f"place {name}"), F.col("beside").alias(name))
-        chains = chains.join(side, (F.col(t) == F.col(f"t {name}")) & (at == F.col(f"place {name}")))
-    start, stop = F.col("start") - _run(F.col("a"), F.col("b")), F.col("stop") + _run(F.col("c"), F.col("d"))
-    runs = chains.select("t", "first_id", start.alias("first_word"), (stop - start).alias("n_words"), "cluster", "kept_id").where(F.col("n_words") >= MIN_WORDS)
-    lines = led.where(is_line).select("t", "first_id", F.col("place").alias("first_word"), F.col("n").alias("n_words"), "cluster", F.col("lead.first_id").alias("kept_id"))
-    passages = runs.unionByName(lines).distinct().select(F.col("first_id").alias("id"), F.col("t").alias("text_id"), "first_word", "n_words", "cluster", "kept_id")
+    lines = found.where(is_line)
+    leaders = lines.groupBy("cluster").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("cluster", "lead")
+    lines = lines.join(leaders, "cluster").where(F.col("t") != F.col("lead.t")).select("t", "first_id", F.col("place").alias("first_word"), F.col("n").alias("n_words"), "cluster", F.col("lead.first_id").alias("kept_id"))
+
+    # A paragraph can be in a shared window only if another text has it with the same words on one side.
+    sides = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(i), "key", c)) for i, c in enumerate(("ahead", "behind"))]))).alias("group")
+    grouped = found.where(~is_line).select("t", "place", "cluster", sides)
+    shared_groups = grouped.groupBy("group").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("group")
+    followed = written(grouped.join(shared_groups, "group").select("t", "place", "cluster").distinct(), "passages-followed")
+
+    # Of texts with the same window of MIN_WORDS words, all but the first lose it.
+    windows = written(_mapped(_asked(one_each, followed.select("t", "place")), _windows, "t long, place int, window long"), "passages-windows")
+    spread = windows.groupBy("window").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window")
+    windows = written(windows.join(spread, "window").join(first.select("t", "first_id"), "t"), "passages-shared")
+    leaders = windows.groupBy("window").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"))
+    led = windows.join(leaders, "window").where(F.col("t") != F.col("lead.t"))
+
+    # Windows at the same distance from those of the same text that overlap or touch are one passage.
+    led = led.groupBy("t", "first_id", F.col("lead.t").alias("lead_t"), F.col("lead.first_id").alias("kept_id"), (F.col("place") - F.col("lead.place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    starts = F.filter("places", lambda p, i: (i == 0) | (p - F.get("places", i - 1) > MIN_WORDS))
+    stops = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.get("places", (i + 1).cast("int")) - p > MIN_WORDS))
+    runs = led.select("t", "first_id", "kept_id", F.explode(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))).alias("c"))
+    runs = written(runs.select("t", "first_id", "kept_id", F.col("c.start").alias("first_word"), (F.col("c.stop") - F.col("c.start") + MIN_WORDS).alias("n_words")).distinct(), "passages-runs")
+    # A passage is named by the least cluster among the paragraphs in it.
+    own_places = followed.groupBy("t").agg(F.collect_set(F.struct("place", "cluster")).alias("paragraphs"))
+    inside = F.filter("paragraphs", lambda p: (p["place"] >= F.col("first_word")) & (p["place"] + PARAGRAPH <= F.col("first_word") + F.col("n_words")))
+    runs = runs.join(own_places, "t").withColumn("cluster", F.array_min(F.transform(inside, lambda p: p["cluster"])))
+    passages = runs.select(*lines.columns).unionByName(lines).distinct().select(F.col("first_id").alias("id"), F.col("t").alias("text_id"), "first_word", "n_words", "cluster", "kept_id")
 
     several = first.where("rows > 1").select("t", "first_id")
     copies = own.join(_sized(several, several.count()), "t").where("not (id <=> first_id)")
