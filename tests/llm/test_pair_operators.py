@@ -107,6 +107,22 @@ def test_no_repeated_passage_stays_and_each_removed_one_has_its_like_before(spar
     assert all(left[i] == t for i, t, _ in corpus if i not in touched and (t or "").strip())
 
 
+def test_lines_are_compared_with_all_of_their_bucket(spark):
+    rng = random.Random(13)
+    base = prose(rng, 100)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):  # each is like the base, hardly any like another
+        w = list(base)
+        for at in rng.sample(range(10, 90), 2):
+            w[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = {i: grams(t) for i, t in rows}
+    like = {i for i in sets if i and len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])}
+    found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    whole = {r.doc_id for r in found.collect() if r.n_words == 100 and r.kept_id == 0}
+    assert len(like) > 100 and len(whole & like) >= 0.95 * len(like)
+
+
 def test_a_passage_of_which_earlier_documents_hold_only_pieces_is_cut(spark):
     rng = random.Random(11)
     rows, whole = [], {}

@@ -148,6 +148,40 @@ def _linked(sets: list[np.ndarray], copies: np.ndarray, cut: int | None, thresho
         label = new
 
 
+def linked_within(members: DataFrame, sets: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """All pairs of each component's members compared exactly. members: component, node, copies; sets: key, set; tasks: how many compare the small components.
+
+    node, links, weight (the copies of the linked), least (the least node that links lead to within the blocks compared), a row for each pair of blocks.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = members.join(sizes, "component").join(sets, F.col("node") == F.col("key")).drop("key")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("component", "node", "copies", "set", "blocks", "block", other)
+    placed = placed.select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("task"),
+        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("low"),
+        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("high"),
+        "component", "node", "copies", "set", "block",
+    )
+
+    def compared(table: pa.Table) -> pa.Table:
+        across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("node", "ascending")])
+        component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set").combine_chunks()]
+        bounds = np.append(np.flatnonzero(np.append(True, component[1:] != component[:-1])), len(component))
+        links, weight, least = np.zeros_like(node), np.zeros_like(node), node.copy()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            cut = int(np.searchsorted(block[a:b], block[b - 1])) if across else None
+            links[a:b], weight[a:b], label = _linked(sets[a:b], copies[a:b], cut, threshold)
+            least[a:b] = node[a:b][label]
+        return pa.table({"node": node, "links": links, "weight": weight, "least": least})
+
+    return placed.groupBy("task", "low", "high").applyInArrow(compared, "node long, links long, weight long, least long")
+
+
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for every row of docs.
 
@@ -179,34 +213,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRE
     chosen = own.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, own["id"].eqNullSafe(ids["met_id"]), "left_semi")
     sets = shingle_sets(chosen).groupBy("key").agg(F.first("set").alias("set"))
 
-    sizes = met.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    tasks = max(1, n // TASK_CLASSES)
-    placed = candidates.join(sizes, "component").join(sets, F.col("node") == F.col("key")).drop("key")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("component", "node", "copies", "set", "blocks", "block", other)
-    placed = placed.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("task"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("low"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("high"),
-        "component", "node", "copies", "set", "block",
-    )
-
-    def compared(table: pa.Table) -> pa.Table:
-        across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("node", "ascending")])
-        component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set").combine_chunks()]
-        bounds = np.append(np.flatnonzero(np.append(True, component[1:] != component[:-1])), len(component))
-        links, weight, least = np.zeros_like(node), np.zeros_like(node), node.copy()
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            cut = int(np.searchsorted(block[a:b], block[b - 1])) if across else None
-            links[a:b], weight[a:b], label = _linked(sets[a:b], copies[a:b], cut, threshold)
-            least[a:b] = node[a:b][label]
-        return pa.table({"node": node, "links": links, "weight": weight, "least": least})
-
-    linked = written(placed.groupBy("task", "low", "high").applyInArrow(compared, "node long, links long, weight long, least long"), "join-links")
+    linked = written(linked_within(candidates, sets, threshold, max(1, n // TASK_CLASSES)), "join-links")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     groups = components(linked.where("links > 0").select(F.col("node").alias("a"), F.col("least").alias("b")))
     known = classes.select("key", "check", "copy_id", "copies", "lead").join(counts.withColumnRenamed("node", "key"), "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")

@@ -8,13 +8,14 @@ least MIN_WORDS words, and content-defined paragraphs of PARAGRAPH words. These
 Each paragraph gets band hashes from a MinHash of its shingles; rows per band are given and the number of bands
 follows from the recall asked for. Bands that two texts share make paragraphs collide; unequal ones
 that collide are verified by the exact Jaccard similarity of their shingle sets, and components of
-equal or verified paragraphs are clusters. A cluster's first paragraph, by document id and place, is
+equal or verified paragraphs are clusters. Each bucket's least member is compared with the others first; where
+that leaves the others in several clusters, all pairs of the bucket are compared, in blocks. A cluster's first paragraph, by document id and place, is
 kept. Around paragraphs that another text has with the same words on one side, every window of MIN_WORDS words is
 compared by a hash of all its words: each goes that an earlier text has too, and windows that overlap or touch make one passage.
 A line goes whose verified like comes earlier. Equal texts are compared once: of a text of MIN_WORDS words
 or more, all rows go but those of the least id. As each removed passage has its like before it, one copy always stays.
 
-No group is gathered: a bucket or a cluster is known by its least member, which Spark
+No group is gathered: but for blocks, a bucket or a cluster is known by its least member, which Spark
 aggregates before its shuffle, so a passage in a third of all documents costs one row for each.
 
 Defined results: words are runs of bytes other than white space, compared without case (A-Z); a
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.ngram_join import BROADCAST_ROWS, SHINGLE, THRESHOLD, _factors, band_count
+from tidemill.llm.ngram_join import BROADCAST_ROWS, SHINGLE, TASK_CLASSES, THRESHOLD, _factors, band_count, linked_within
 from tidemill.llm.storage import written
 from tidemill.llm.words import _BASE, _INVERSE, Words, _power, bound_batches, mix, raw, releasing, slices, words
 
@@ -270,7 +271,16 @@ def _clusters(texts: DataFrame, hits: DataFrame) -> DataFrame:
     place = hits.join(_sized(wanted, pairs.count() * 2), "key", "left_semi").groupBy("key").agg(F.min(F.struct("t", "place", "n")).alias("p"))
     sets = written(_mapped(_asked(texts, place.select("p.t", "p.place", "p.n", "key")), _sets, "key long, set binary"), "passages-sets")
     sides = [sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
-    return components(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long")).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    edges = written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long"), "passages-alike")
+    so_far = components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    # A bucket whose other keys are not in one cluster by now has its pairs without the least key compared as well.
+    members = collided.join(least, "hash").join(so_far, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")).where("key <> least")
+    members = written(members.select("hash", "key", "cluster"), "passages-members")
+    open_ones = members.groupBy("hash").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("hash")
+    members = written(members.join(open_ones, "hash").select(F.col("hash").alias("component"), F.col("key").alias("node"), F.lit(1).cast("long").alias("copies")), "passages-open")
+    more = linked_within(members, sets, THRESHOLD, max(1, members.count() // TASK_CLASSES)).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges = edges.union(written(more, "passages-more-alike"))
+    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
