@@ -7,9 +7,8 @@ however its numbers and names were changed. A document leaks an item if it has a
 of the item's windows and its slots are consistent: what stands for one value of the item is, for
 at least CONSISTENT of the values, always the same in the document.
 
-Benchmark windows begin at every token, document windows at every STRIDE-th, so every shared run
-of WINDOW + STRIDE - 1 tokens is met; texts that meet one are then compared at every token. Equal
-texts are compared once. The stride shrinks as far as the shortest item asks for.
+Windows begin at every token on both sides, so every shared run of WINDOW tokens is met; the slots
+are taken only from texts that meet one. Equal texts are compared once.
 
 Defined results: null texts count as empty; items of under WINDOW tokens, and windows of which
 more than half are placeholders, are no evidence; rows of the
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.storage import written
 
-WINDOW, STRIDE, COVERAGE, CONSISTENT = 8, 4, 0.5, 0.75
+WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.75
 #: The benchmark's windows are broadcast up to so many rows of 8 bytes, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,9 +40,9 @@ def tokens(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def _places(tokens: Column, stride: int) -> Column:
+def _places(tokens: Column) -> Column:
     last = F.size(tokens) - WINDOW + 1
-    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
 
 
 def _windows(slots: bool) -> Column:
@@ -72,11 +71,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     items = items.select(F.xxhash64("item", "text").alias("n"), "item", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
-    shortest = items.where(F.size("t") >= WINDOW).agg(F.min(F.size("t"))).first()[0] or WINDOW + STRIDE
-    stride = max(1, min(STRIDE, shortest - WINDOW + 1))
     literal = lambda part: F.size(F.filter(part, lambda t: ~t.startswith("<"))) * 2 >= WINDOW
     one = _windows(slots=True)
-    parts = F.transform(F.filter(_places(F.col("t"), 1), lambda i: literal(F.slice("t", i, WINDOW))), one)
+    parts = F.transform(F.filter(_places(F.col("t")), lambda i: literal(F.slice("t", i, WINDOW))), one)
     # An item's window counts once, with the slots of its first place.
     item_windows = items.select("n", "item", F.posexplode(parts).alias("place", "w"))
     item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "place").alias("slots"))
@@ -87,12 +84,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
     known = _sized(item_windows.select("hash").distinct(), rows)
-    place = F.transform(_places(F.col("t"), stride), lambda i: F.xxhash64(F.slice("t", i, WINDOW)))
+    place = F.transform(_places(F.col("t")), lambda i: F.xxhash64(F.slice("t", i, WINDOW)))
     met = own.select("key", tokens(template(F.col("text"))).alias("t")).select("key", F.explode(place).alias("hash")).join(known, "hash", "left_semi").select("key").distinct()
     met = written(met, "benchmark-met")
     texts = own.join(_sized(met, met.count()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = texts.select("key", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
-    found = texts.select("key", F.posexplode(F.transform(_places(F.col("t"), 1), one)).alias("place", "w")).select("key", "place", "w.hash", F.col("w.slots").alias("values"))
+    found = texts.select("key", F.posexplode(F.transform(_places(F.col("t")), one)).alias("place", "w")).select("key", "place", "w.hash", F.col("w.slots").alias("values"))
     found = found.join(_sized(item_windows, rows), "hash").groupBy("key", "n", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
     found = written(found, "benchmark-found")
 
