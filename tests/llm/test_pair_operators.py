@@ -185,6 +185,14 @@ def test_leaks_are_met_at_every_word_offset(spark):
     assert sorted(r.doc_id for r in template_decontam.leaks(docs, benchmark).collect()) == [10 + i for i in range(8)]
 
 
+def test_items_without_a_usable_window_are_found_by_their_words(spark):
+    items = ["Who wrote Faust?", "Name The River That Flows Through Rome And Into The Sea", "2 + 3 * 4 - 5 + 6 * 7 = ?", None, ""]
+    texts = ["they asked: who wrote Faust? nobody knew", "so name the river that flows through Rome and into the sea", "is 2 + 3 * 4 - 5 + 6 * 7 = ? hard", "who wrote of Faust", "2 - 3 * 4 + 5 - 6 * 7 = ?", "Name The Sea That Lies Beside Oslo And Behind The Hill", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in template_decontam.leaks(docs, benchmark).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, None)]

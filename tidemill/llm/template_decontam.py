@@ -10,8 +10,11 @@ at least CONSISTENT of the values, always the same in the document.
 Windows begin at every token on both sides, so every shared run of WINDOW tokens is met; the slots
 are taken only from texts that meet one. Equal texts are compared once.
 
-Defined results: null texts count as empty; items of under WINDOW tokens, and windows of which
-more than half are placeholders, are no evidence; rows of the
+Windows of which more than half are placeholders are no evidence. An item that has no other is
+compared by its own words, in lower case and without the punctuation around them: by windows of WINDOW
+words, or, if it has fewer words, by all of them in a row.
+
+Defined results: null texts count as empty, and an item without words is no evidence; rows of the
 benchmark with equal item and text are one item, and repeated documents are each reported; an empty table on either side gives no rows; only the named columns are read.
 """
 
@@ -40,23 +43,30 @@ def tokens(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
+def plain(text: Column) -> Column:
+    """The words of text as they stand, but for case and the punctuation around them."""
+    mark = r"[\p{Pi}\p{Pf}\p{Ps}\p{Pe}\"'.,;:!?¿¡]+"
+    text = F.regexp_replace(F.lower(text), rf"(?<!\S){mark}(?=[^\s])|(?<=[^\s]){mark}(?!\S)", "")
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def _plain_windows(words: Column, size: Column) -> Column:
+    """For each size words in a row: place, a hash apart from those of templates, and no slots."""
+    last = F.size(words) - size + 1
+    places = F.when((last >= 1) & (size >= 1), F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit("plain"), F.slice(words, i, size)).alias("hash"), F.array().cast("array<string>").alias("slots")))
+
+
 def _places(tokens: Column) -> Column:
     last = F.size(tokens) - WINDOW + 1
     return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(slots: bool) -> Column:
-    """For each window of the column t: its hash, and the values in its placeholders, from the column o."""
-
-    def one(i: Column) -> Column:
-        part = F.slice("t", i, WINDOW)
-        hashed = F.xxhash64(part).alias("hash")
-        if not slots:
-            return F.struct(hashed)
-        own = F.zip_with(part, F.slice("o", i, WINDOW), lambda t, o: F.when(t.startswith("<"), o))
-        return F.struct(hashed, F.filter(own, lambda x: x.isNotNull()).alias("slots"))
-
-    return one
+def _window(i: Column) -> Column:
+    """Of the window of the column t at i: place, hash, and the values in its placeholders, from the column o."""
+    part = F.slice("t", i, WINDOW)
+    own = F.zip_with(part, F.slice("o", i, WINDOW), lambda t, o: F.when(t.startswith("<"), o))
+    return F.struct(i.alias("place"), F.xxhash64(part).alias("hash"), F.filter(own, lambda x: x.isNotNull()).alias("slots"))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -70,13 +80,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     consistent_values stand for one value of the document each; reparameterised: some stand for another value.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    items = items.select(F.xxhash64("item", "text").alias("n"), "item", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
+    items = items.select(F.xxhash64("item", "text").alias("n"), "item", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"), plain(F.col("text")).alias("p"))
     literal = lambda part: F.size(F.filter(part, lambda t: ~t.startswith("<"))) * 2 >= WINDOW
-    one = _windows(slots=True)
-    parts = F.transform(F.filter(_places(F.col("t")), lambda i: literal(F.slice("t", i, WINDOW))), one)
+    items = items.withColumn("usable", F.filter(_places(F.col("t")), lambda i: literal(F.slice("t", i, WINDOW)))).withColumn("size", F.least(F.size("p"), F.lit(WINDOW)))
+    parts = F.when(F.size("usable") > 0, F.transform("usable", _window)).otherwise(_plain_windows(F.col("p"), F.col("size")))
+    sizes_asked = sorted(r[0] for r in items.where((F.size("usable") == 0) & (F.col("size") > 0)).select("size").distinct().collect())
     # An item's window counts once, with the slots of its first place.
-    item_windows = items.select("n", "item", F.posexplode(parts).alias("place", "w"))
-    item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "place").alias("slots"))
+    item_windows = items.select("n", "item", F.explode(parts).alias("w"))
+    item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "w.place").alias("slots"))
     item_windows = written(item_windows, "benchmark-windows")
     sizes = item_windows.groupBy("n").agg(F.count("*").alias("item_windows"))
     rows = item_windows.count()
@@ -84,12 +95,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
     known = _sized(item_windows.select("hash").distinct(), rows)
-    place = F.transform(_places(F.col("t")), lambda i: F.xxhash64(F.slice("t", i, WINDOW)))
-    met = own.select("key", tokens(template(F.col("text"))).alias("t")).select("key", F.explode(place).alias("hash")).join(known, "hash", "left_semi").select("key").distinct()
+    words = [plain(F.col("text")).alias("p")] if sizes_asked else []
+    by_words = [_plain_windows(F.col("p"), F.lit(size)) for size in sizes_asked]
+    hashes = F.concat(F.transform(_places(F.col("t")), lambda i: F.xxhash64(F.slice("t", i, WINDOW))), *[w["hash"] for w in by_words])
+    met = own.select("key", tokens(template(F.col("text"))).alias("t"), *words).select("key", F.explode(hashes).alias("hash")).join(known, "hash", "left_semi").select("key").distinct()
     met = written(met, "benchmark-met")
     texts = own.join(_sized(met, met.count()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = texts.select("key", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
-    found = texts.select("key", F.posexplode(F.transform(_places(F.col("t")), one)).alias("place", "w")).select("key", "place", "w.hash", F.col("w.slots").alias("values"))
+    texts = texts.select("key", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"), *words)
+    found = texts.select("key", F.explode(F.concat(F.transform(_places(F.col("t")), _window), *by_words)).alias("w")).select("key", "w.place", "w.hash", F.col("w.slots").alias("values"))
     found = found.join(_sized(item_windows, rows), "hash").groupBy("key", "n", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
     found = written(found, "benchmark-found")
 
