@@ -193,6 +193,17 @@ def test_items_without_a_usable_window_are_found_by_their_words(spark):
     assert sorted((r.doc_id, r.item_id) for r in template_decontam.leaks(docs, benchmark).collect()) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_a_leak_after_a_part_of_a_like_question_is_found(spark):
+    other = ITEM
+    for a, b in (("Paris", "Oslo"), ("at 9", "at 5"), ("40", "77"), ("12", "31"), ("Rome", "Bergen")):
+        other = other.replace(a, b)
+    part = " ".join(other.split()[:16])
+    longer = ITEM.replace("Rome", "Rome San Pietro")
+    docs = spark.createDataFrame([(0, part + " and so on . " + ITEM), (1, part + " and so on . " + longer), (2, part)], "doc_id long, text string")
+    found = {r.doc_id: r for r in template_decontam.leaks(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()}
+    assert {0, 1} <= found.keys() and not found[0].reparameterised and found[0].consistent_values == found[0].slot_values
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, None)]

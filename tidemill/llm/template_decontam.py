@@ -7,6 +7,10 @@ however its numbers and names were changed. A document leaks an item if it has a
 of the item's windows and its slots are consistent: what stands for one value of the item is, for
 at least CONSISTENT of the values, always the same in the document.
 
+A document can hold several questions like the item. The rule is applied to each occurrence, that is the
+windows at one distance from their places in the item, or at distances within one of DRIFTS (a name
+can have more tokens than the item's), and to the whole document; one that fulfils it is enough.
+
 Windows begin at every token on both sides, so every shared run of WINDOW tokens is met; the slots
 are taken only from texts that meet one. Equal texts are compared once.
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.storage import written
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.75
+#: Tokens; each width is dealt twice, half a width apart.
+DRIFTS = (4, 16)
 #: The benchmark's windows are broadcast up to so many rows of 8 bytes, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -87,7 +93,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sizes_asked = sorted(r[0] for r in items.where((F.size("usable") == 0) & (F.col("size") > 0)).select("size").distinct().collect())
     # An item's window counts once, with the slots of its first place.
     item_windows = items.select("n", "item", F.explode(parts).alias("w"))
-    item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "w.place").alias("slots"))
+    item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "w.place").alias("slots"), F.min("w.place").alias("at"))
     item_windows = written(item_windows, "benchmark-windows")
     sizes = item_windows.groupBy("n").agg(F.count("*").alias("item_windows"))
     rows = item_windows.count()
@@ -103,22 +109,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = own.join(_sized(met, met.count()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = texts.select("key", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"), *words)
     found = texts.select("key", F.explode(F.concat(F.transform(_places(F.col("t")), _window), *by_words)).alias("w")).select("key", "w.place", "w.hash", F.col("w.slots").alias("values"))
-    found = found.join(_sized(item_windows, rows), "hash").groupBy("key", "n", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
+    shift = F.col("place") - F.col("at")
+    sort = lambda width, part, of: F.struct(F.lit(width).alias("width"), F.lit(part).alias("part"), of.cast("int").alias("of"))
+    drifting = [sort(w, k, F.floor((shift + k * (w // 2)) / w)) for w in DRIFTS for k in (0, 1)]
+    found = found.join(_sized(item_windows, rows), "hash").withColumn("occurrence", F.explode(F.array(sort(0, 0, F.lit(0)), sort(1, 0, shift), *drifting)))
+    found = found.groupBy("key", "n", "occurrence", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
     found = written(found, "benchmark-found")
 
-    enough = found.groupBy("key", "n").agg(F.first("item").alias("item"), F.count("*").alias("matched_windows")).join(F.broadcast(sizes) if rows <= BROADCAST_ROWS else sizes, "n")
+    enough = found.groupBy("key", "n", "occurrence").agg(F.first("item").alias("item"), F.count("*").alias("matched_windows")).join(F.broadcast(sizes) if rows <= BROADCAST_ROWS else sizes, "n")
     enough = enough.where(F.col("matched_windows") >= COVERAGE * F.col("item_windows"))
     bare = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    slots = found.select("key", "n", F.explode(F.arrays_zip("slots", "values")).alias("s")).select("key", "n", bare(F.col("s.slots")).alias("slot"), bare(F.col("s.values")).alias("value"))
-    slots = slots.groupBy("key", "n", "slot").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    slots = slots.groupBy("key", "n").agg(
+    slots = found.select("key", "n", "occurrence", F.explode(F.arrays_zip("slots", "values")).alias("s")).select("key", "n", "occurrence", bare(F.col("s.slots")).alias("slot"), bare(F.col("s.values")).alias("value"))
+    slots = slots.groupBy("key", "n", "occurrence", "slot").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    slots = slots.groupBy("key", "n", "occurrence").agg(
         F.count("*").alias("slot_values"), F.count_if(F.col("low") == F.col("high")).alias("consistent_values"),
         F.bool_or((F.col("low") != F.col("slot")) | (F.col("high") != F.col("slot"))).alias("reparameterised"),
     )
-    judged = enough.join(slots, ["key", "n"], "left").select(
-        "key", "item", "matched_windows", "item_windows", F.coalesce("slot_values", F.lit(0)).alias("slot_values"),
+    judged = enough.join(slots, ["key", "n", "occurrence"], "left").select(
+        "key", "n", "item", "matched_windows", "item_windows", F.coalesce("slot_values", F.lit(0)).alias("slot_values"),
         F.coalesce("consistent_values", F.lit(0)).alias("consistent_values"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     ).where(F.col("consistent_values") >= CONSISTENT * F.col("slot_values"))
+    # Of a pair's occurrences, the one with the most windows counts, then the most consistent, then one as it is in the item.
+    best = F.max(F.struct("matched_windows", "consistent_values", (~F.col("reparameterised")).alias("same"), "slot_values", "item_windows", "item", "reparameterised")).alias("best")
+    judged = judged.groupBy("key", "n").agg(best).select("key", "best.*")
     return docs.select(F.col(id_col).alias(id_col), F.xxhash64(text).alias("key")).join(judged, "key").select(
         id_col, F.col("item").alias("item_id"), "matched_windows", "item_windows", "slot_values", "consistent_values", "reparameterised"
     )
