@@ -181,7 +181,7 @@ def test_leaks_are_met_at_every_word_offset(spark):
     item = "which of the nine pears did they eat Anna Bob Cyd Dan Eve Fay Gus Hal Ida Joe Kim"
     docs = spark.createDataFrame([(i, "x " * i + item) for i in range(8)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "Anna Bob Cyd Dan Eve Fay Gus which of the nine Hal Ida Joe Kim Lea Max Ned")], "item_id long, text string")
-    docs = docs.union(spark.createDataFrame([(10 + i, "x " * i + "Anna Bob Cyd Dan which of the nine Hal Ida Joe") for i in range(8)], "doc_id long, text string"))
+    docs = docs.union(spark.createDataFrame([(10 + i, "x " * i + "Anna Bob Cyd Dan which of the nine Hal Ida") for i in range(8)], "doc_id long, text string"))
     assert sorted(r.doc_id for r in template_decontam.leaks(docs, benchmark).collect()) == [10 + i for i in range(8)]
 
 
