@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from itertools import zip_longest
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemill.llm import language_id, merkle, reshard, suffix_tree_lm
@@ -23,26 +26,59 @@ def tree(text, cuts=("\n\n", "\n", ". ", ", ")):
     return sha("".join(tree(part, cuts[1:]) for part in text.split(cuts[0]))) if cuts else sha(text)
 
 
-def test_merkle_equals_brute_force(spark):
-    docs = spark.createDataFrame([(*r, "n") for r in ROWS], "doc_id long, text string, next_text string")
-    order = sorted(((i, t or "") for i, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0))
-    leaves = lambda t: set(re.split(r"\n|[.,] ", t))
-    like = lambda a, b: 2 * len(leaves(a) & leaves(b)) / (len(leaves(a)) + len(leaves(b)))
-    found = {r.doc_id: r for r in merkle.edit_report(docs).collect()}
-    assert len(found) == len(ROWS)
+def cuts(text, separators=("\n\n", "\n", ". ", ", ")):
+    return {x for part in text.split(separators[0]) for x in cuts(part, separators[1:])} if separators else {text} - {""}
+
+
+def like(a, b):
+    return 2 * len(cuts(a) & cuts(b)) / (len(cuts(a)) + len(cuts(b))) if cuts(a) | cuts(b) else 1.0
+
+
+def first_edit(a, b):
+    """The first section, and the first paragraph in it, that differ."""
+    for section, (x, y) in enumerate(zip_longest(a.split("\n\n"), b.split("\n\n"))):
+        if x != y:
+            return section, next(k for k, (p, q) in enumerate(zip_longest(*((z.split("\n") if z is not None else []) for z in (x, y)))) if p != q)
+    return None, None
+
+
+def merkle_differs(found, rows):
+    """Rows of edit_report, in order, that aren't what brute force gives for rows of id and text."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()[:8], r[1]))
+    expected = []
     for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
-        half, r = len(text) // 2, found[i]
+        half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), sha(edited), tree(text), tree(edited))
-        assert math.isclose(r.near_edited, like(text, edited)) and math.isclose(r.near_next, like(text, after))
+        expected.append((str(i), len(text), sha(edited), tree(text), tree(edited), round(like(text, edited), 9), round(like(text, after), 9), *first_edit(text, edited)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), r.edited_section, r.edited_paragraph) for r in found]
+    return (Counter(got) - Counter(expected)) + (Counter(expected) - Counter(got))
+
+
+def test_merkle_equals_brute_force(spark):
+    docs = spark.createDataFrame([(*r, "n") for r in ROWS], "doc_id long, text string, next_text string")
+    assert not merkle_differs(merkle.edit_report(docs).collect(), ROWS)
     assert merkle.edit_report(docs.limit(0)).count() == 0 and merkle.edit_report(docs.limit(1)).count() == 1
 
 
+def test_merkle_of_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", ". ", ", ", "\n", "\n\n", " "]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    rows = [(rng.choice([7, 7, None, 1 << 62, (1 << 62) + 1, i]), t) for i, t in enumerate(texts)] + [(7, texts[0])] * 5 + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not merkle_differs(merkle.edit_report(docs).collect(), rows)
+    keys = spark.createDataFrame([(key, part / 10) for key in (6, 7, 8, 20, 21) for part in range(10)], "key long, part double")
+    dealt = [r.b for r in keys.select("key", "part", merkle._range(F.col("key"), F.col("part"), [7.0] * 4 + [8.0, 20.0, 20.0]).alias("b")).orderBy("key", "part").collect()]
+    assert dealt == sorted(dealt) and [len(set(dealt[a : a + 10])) for a in range(0, 50, 10)] == [1, 4, 1, 2, 1]  # one id's rows are spread
+
+
+def test_merkle_likeness_of_texts_without_a_clause_in_common(spark):
+    docs = spark.createDataFrame([(1, "apple\n\nbread"), (2, "chair\n\ndoor\n"), (3, "\n")], "doc_id long, text string")
+    assert {r.doc_id: r.near_next for r in merkle.edit_report(docs).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
 @pytest.mark.parametrize("skew", [False, True])
 def test_reshard_is_gapless_and_moves_no_more_than_needed(spark, skew):
     docs = spark.createDataFrame([(i, "w" * (i % 37), 0 if skew else i % 5) for i in range(103)] + [(200, None, None), (200, None, None)], "doc_id long, text string, old int")
-    from pyspark.sql import functions as F
-
     found = reshard.reshard(docs, F.col("old"), shards=4).collect()
     counts = Counter(r.shard for r in found)
     assert len(found) == 105 and max(counts.values()) - min(counts.values()) <= 1 and set(counts) == set(range(4))
@@ -59,8 +95,6 @@ def test_reshard_is_gapless_and_moves_no_more_than_needed(spark, skew):
 
 
 def test_affected_shards_are_rewritten(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(i, "w" * i, 0) for i in range(20)], "doc_id long, text string, old int")
     reshard.rewrite_affected(docs, reshard.reshard(docs, F.col("old"), shards=2), f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")

@@ -46,7 +46,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edit_report(_table(spark, sf_dir, "documents")).drop("edited_section", "edited_paragraph")
+    return merkle.edit_report(_table(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
