@@ -9,7 +9,7 @@ table of BUCKETS rows, broadcast at a fixed size; it runs map-only over whole te
 
 Defined results: a text that is null or has no letter gets the language und, score 0, and is
 rejected; so does every text if there is no labelled row to learn from. Null languages are not
-learned. Repeated rows are judged alike; an empty table gives an empty table; only the named
+learned; a text of equal probabilities gets the first of these languages in code point order. Repeated rows are judged alike and learned once; an empty table gives an empty table; only the named
 columns are read, so further columns never clash.
 """
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import _LOWER, bound_batches, group_sum, raw, releasing, slices
+from tidemill.llm.words import _LOWER, bound_batches, fitted, group_sum, raw, releasing, slices
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 WIDTH = 16
-#: Training takes at most so many rows of each language, and none longer than so many characters.
+#: Training takes about so many rows of each language at most, and none longer than so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
 #: The share of held-back rows, correctly labelled, that calibrated rejection may lose.
 REJECTED_SHARE = 0.001
@@ -114,19 +114,22 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for chosen in np.split(seen, range(batch, len(seen), batch)):
-            if not len(chosen):
+            chosen = [i for i in chosen if len(rows[i][0])]
+            if not chosen:
                 continue
             cat = np.concatenate([rows[i][0] for i in chosen])
-            share = np.concatenate([rows[i][1] / max(1, rows[i][1].sum()) for i in chosen]).astype(np.float32)
-            cuts = np.cumsum([0] + [len(rows[i][0]) for i in chosen])
-            hidden = np.stack([share[a:b] @ embed[cat[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
+            share = np.concatenate([rows[i][1] / rows[i][1].sum() for i in chosen]).astype(np.float32)[:, None]
+            counts = [len(rows[i][0]) for i in chosen]
+            hidden = np.add.reduceat(share * embed[cat], np.cumsum([0, *counts[:-1]]), axis=0)
             error = softmax(hidden @ weights + bias)
             error[np.arange(len(chosen)), y[chosen]] -= 1
             error /= len(chosen)
             back = error @ weights.T
             weights -= step * 0.05 * hidden.T @ error
             bias -= step * 0.05 * error.sum(axis=0)
-            np.subtract.at(embed, cat, step * share[:, None] * np.repeat(back, np.diff(cuts), axis=0))
+            order = np.argsort(cat, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(cat[order])))
+            embed[cat[order[first]]] -= step * np.add.reduceat((share * np.repeat(back, counts, axis=0))[order], first, axis=0)
     model = Model(languages, embed @ weights, bias)
     if len(held):
         calibrate(model, [texts[i] for i in held], y[held])
@@ -149,19 +152,24 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """The model from a sample of the usable rows with a language, bounded by SAMPLE_ROWS for each language and by SAMPLE_CHARS."""
+    """The model from a sample of the usable rows with a language, about SAMPLE_ROWS of each at most, none longer than SAMPLE_CHARS; one task learns from it."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    # Partial top-k by a hash, per language: each task passes on at most SAMPLE_ROWS keys for a language.
     drawn = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = F.lit(0.0)
     for r in drawn:
         share = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE_ROWS / r["n"])).otherwise(share)
-    sample = rows.where(F.col("draw").cast("double") < (share * 2.0 - 1.0) * F.lit(2.0**63)).select("draw", "lang", "text")
-    found = sample.toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    if not found.num_rows:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
+    # Drawn by a hash, so the same rows at each run; of repeated rows one is drawn.
+    sample = rows.where(F.col("draw").cast("double") < (share * 2.0 - 1.0) * F.lit(2.0**63)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+
+    def fit(found: pa.Table | None) -> Model:
+        if found is None:
+            return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+        found = found.sort_by([("draw", "ascending"), ("lang", "ascending")])
+        return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
+
+    return fitted(sample, fit)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

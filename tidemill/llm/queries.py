@@ -59,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label string")
+    labelled = spark.createDataFrame(url_filter.labelled(), "url string, label string")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.train_from_table(labelled), url_filter.RULES)
 
 

@@ -2,13 +2,17 @@
 
 Grades 0 to K are ordered: P(grade > k) = sigmoid(w.x - threshold[k]), with one weight vector
 shared by the ordered thresholds. x says which hashed words, and five-byte beginnings of words,
-a text has. Weights are learned in numpy from a bounded sample of labelled rows, on those
+a text has. Weights are learned in numpy, in one task, from a bounded sample of labelled rows, on those
 features whose presence depends on the label (chi squared); the model is one vector of BUCKETS
 weights, broadcast at that fixed size, and whole texts are graded map-only.
 
+Ordered labels are learned as they are. Where labels say only 0 or 1 (binary), the grades above 1 are
+synthetic: severity_grades makes them from how many of the telling features a toxic text has. They then
+order toxic texts by the amount of such words and are no independent judgement of severity.
+
 Defined results: a text that is null, or has no letter or digit, has no features and severity 0. If
 no labelled row exists, every text has severity 0. Labels without a document, and null labels, are not used. Repeated
-rows are graded alike; an empty table gives an empty table; only the named columns are read.
+rows are graded alike, and of the rows of one labelled id one is learned from; of equally probable grades the lowest is given; an empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import bound_batches, slices, words
+from tidemill.llm.words import bound_batches, fitted, releasing, slices, words
 
 BUCKETS = 1 << 20
 PREFIX = 5
@@ -129,13 +133,15 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def train_from_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", binary: bool = True) -> Model:
     """The model from a sample of the labelled documents. binary: the labels are 0 or 1, and severity_grades makes grades of them; else they are grades."""
     bound_batches(docs.sparkSession)
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("grade")).where("grade >= 0 and id is not null")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("grade")).where("grade >= 0 and id is not null").groupBy("id").agg(F.max("grade").alias("grade"))
     n = marked.count()
     if n > SAMPLE_ROWS:
         share = SAMPLE_ROWS / n
         marked = marked.where(F.xxhash64("id").cast("double") < (2 * share - 1) * 2.0**63)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(marked, "id")
+    # Each id is in the sample once, and an id and a grade are 12 bytes: that bounds the broadcast.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(marked), "id")
 
+    @releasing
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -143,10 +149,17 @@ def train_from_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 each = [np.unique(ids[a:b]) for a, b in zip(before, before[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("grade"), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "grade", "ids"])
 
-    found = rows.select("id", "grade", "text").mapInArrow(sparse, "id string, grade int, ids binary").toPandas().sort_values(["id", "grade", "ids"])
-    each = [np.frombuffer(x, dtype=np.int32) for x in found["ids"]]
-    grades = found["grade"].to_numpy(dtype=np.int64)
-    return train(each, severity_grades(each, grades) if binary else grades)
+    found = rows.select("id", "grade", "text").mapInArrow(sparse, "id string, grade int, ids binary").groupBy("id", "grade").agg(F.min("ids").alias("ids"))
+
+    def fit(found: pa.Table | None) -> Model:
+        if found is None:
+            return train([], np.zeros(0, np.int64))
+        found = found.sort_by([("id", "ascending")])
+        each = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found.column("ids").combine_chunks()]
+        grades = found.column("grade").to_numpy().astype(np.int64)
+        return train(each, severity_grades(each, grades) if binary else grades)
+
+    return fitted(found, fit)
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +168,7 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -4,8 +4,11 @@ The model is trained in numpy from a small labelled URL table and is a vector of
 2 ** 14 weights, whatever the data; urls are judged map-only, so nothing is shuffled.
 
 Defined results: a null url, or one without "://", has empty host and path and gets the
-model's verdict for an empty url. Repeated rows are judged alike, an empty table gives an
-empty table, and only the named columns are read, so further columns never clash.
+model's verdict for an empty url, which labelled() allows; with no labelled row, every url has
+probability a half. Of rules of one length the one that is last in code point order wins. Repeated
+rows are judged alike, an empty table gives an
+empty table, and only the named columns are read, so further columns never clash. A url is
+judged whole, however long.
 """
 
 from __future__ import annotations
@@ -25,46 +28,33 @@ GRAMS = (2, 3, 4, 5)
 #: At most so many labelled urls are used for training.
 MAX_LABELLED = 20_000
 
-#: A small labelled table: advertising, gambling, tracking and link-farm addresses are to be blocked.
-LABELLED = [
-    ("http://ads.example.com/click/banner/728x90", "block"),
-    ("https://adserver.example.net/popup/track", "block"),
-    ("http://casino-bonus.example.com/free-spins", "block"),
-    ("https://win.poker-casino.example.org/jackpot/bonus", "block"),
-    ("http://cheap-pills.example.net/buy-viagra-online", "block"),
-    ("http://xxx-videos.example.com/porn/free-sex", "block"),
-    ("https://adult-cams.example.org/xxx/live", "block"),
-    ("http://tracker.example.com/pixel.gif/collect", "block"),
-    ("https://click.tracking.example.net/redirect/affiliate", "block"),
-    ("http://best-seo-links.example.com/backlinks/buy", "block"),
-    ("http://free-download-crack.example.net/keygen/warez", "block"),
-    ("https://torrent-warez.example.org/crack/serial", "block"),
-    ("http://spam.example.com/promo/deal/discount-coupon", "block"),
-    ("http://payday-loans.example.org/cheap/credit-loan", "block"),
-    ("https://popunder.ads.example.com/banner", "block"),
-    ("http://slots.example.net/casino/bet/win-money", "block"),
-    ("https://example.com/wp-login.php", "block"),
-    ("https://phish.example.net/account/verify-login/secure-update", "block"),
-    ("https://en.example.org/wiki/History_of_printing", "allow"),
-    ("https://news.example.com/en/2023/05/science-report", "allow"),
-    ("https://blog.example.com/fr/12345", "allow"),
-    ("https://www.example.org/de/39547.html", "allow"),
-    ("http://m.example.net/es/26123", "allow"),
-    ("https://docs.example.com/en/guide/index.html", "allow"),
-    ("https://library.example.org/books/12007/", "allow"),
-    ("https://university.example.net/research/papers/1998.html", "allow"),
-    ("https://www.example.com/about/team", "allow"),
-    ("http://recipes.example.org/en/soup/4551", "allow"),
-    ("https://forum.example.net/thread/88123", "allow"),
-    ("https://museum.example.org/fr/collection/771", "allow"),
-    ("https://blog.example.org/de/5099", "allow"),
-    ("https://weather.example.com/en/7198", "allow"),
-    ("https://journal.example.net/articles/2021/volume-4.html", "allow"),
-    ("http://www.example.net/en/35332/", "allow"),
-    ("https://m.example.com/es/9897/", "allow"),
-    ("https://school.example.org/en/lesson/12", "allow"),
+#: Words that name what a host or path offers: to be blocked, and to be allowed.
+BLOCKED = "ads adserver banner popup popunder casino poker slots jackpot bet bets win bonus viagra pills xxx porn adult sex tracker tracking pixel affiliate backlinks warez crack keygen torrent spam coupon payday loans phish malware cheap free".split()
+ALLOWED = "news blog wiki docs library university recipes forum museum weather journal school science history music books garden travel health sports city guide report story archive research lesson about team article collection atlas".split()
+#: What stands around a word, and around none: {w} and {v} are words of one sort, {n} a number.
+SHAPES = [
+    ("http://{w}.example.com/{n}", "https://www.{w}.example.org/en/{n}.html", "https://{v}-{w}.example.net/fr/{n}/", "http://m.{w}-{v}.example.com/de/{n}", "https://example.net/{w}/{n}", "http://www.example.org/{v}/{w}.html"),
+    ("https://www.example.com/en/{n}", "http://m.example.net/es/{n}/", "https://example.org/{n}.html", "http://www.example.net/de/{n}", "https://blog.example.org/fr/{n}", "http://example.com", "https://www.example.org/", ""),
 ]
 
+
+def labelled(part: int = 0) -> list[tuple[str, str]]:
+    """The small labelled table, some 570 urls, made by a rule: each word in each shape; and, allowed, hosts of invented names and urls without any such word, the empty one among them.
+
+    Another part pairs the words otherwise and has other numbers, so it can test what part 0 has taught.
+    """
+    rows = []
+    for label, words in (("block", BLOCKED), ("allow", ALLOWED)):
+        for i, word in enumerate(words):
+            other = words[(i + 7 + 4 * part) % len(words)]
+            rows += [(shape.format(w=word, v=other, n=1000 + (i * 613 + k * 2741 + part * 389) % 9000), label) for k, shape in enumerate(SHAPES[0])]
+    syllables = [a + b for a in "bdfghklmnprstvw" for b in ("a", "en", "io", "or", "ut", "th")]
+    names = ["".join(syllables[(i * 31 + k * 17 + part * 7 + i * k) % len(syllables)] for k in range(2 + i % 3)) for i in range(100)]
+    rows += [(SHAPES[0][i % 3].format(w=name, v="my", n=1000 + (i * 419 + part * 211) % 9000), "allow") for i, name in enumerate(names)]
+    rows += [(shape.format(n=1000 + (i * 877 + k * 1931 + part * 431) % 9000), "allow") for i in range(8) for k, shape in enumerate(SHAPES[1])]
+    return rows
+
+
 #: (verdict, rule) as the contract of the query states them.
 RULES = [
     ("block", "com/en/"),
@@ -124,7 +114,7 @@ def logits(host: pa.Array, path: pa.Array, weights: np.ndarray) -> np.ndarray:
     return sum(group_sum(weights[ids], before) for ids, before in parts) * scale + weights[-1]
 
 
-def train(host: Sequence[str], path: Sequence[str], blocked: Sequence[bool], epochs: int = 300, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
+def train(host: Sequence[str], path: Sequence[str], blocked: Sequence[bool], epochs: int = 1000, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
     """Weights by full-batch gradient descent on the regularised logistic loss."""
     y = np.asarray(blocked, dtype=np.float64)
     weights = np.zeros(BUCKETS + 1)

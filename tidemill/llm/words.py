@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES, BATCH_BYTES = 500_000, 4_000_000
 
@@ -47,8 +49,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """From now on the session hands Python workers Arrow batches of at most BATCH_BYTES, or of one row; else 10,000 long texts would come at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """From now on the session hands Python workers Arrow batches of at most BATCH_BYTES, or of one row; else 10,000 long texts would come at once.
+
+    Spark reads the setting when a plan runs, which is after the operator has returned it; so the setting stays. A lower one of the caller's is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        low = 0 < int(spark.conf.get(name)) <= BATCH_BYTES
+    except Exception:  # unset, or with a unit
+        low = False
+    if not low:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def releasing(each: Callable) -> Callable:
@@ -64,6 +75,19 @@ def releasing(each: Callable) -> Callable:
     return wrapped
 
 
+def fitted(sample: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
+    """What fit makes of all rows of sample, a table of bounded size, in one task. So the driver holds the model only. fit gets None for no rows."""
+
+    @releasing
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [batch for batch in batches if batch.num_rows]
+        model = fit(pa.Table.from_batches(batches) if batches else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(each, "model binary").first()
+    return pickle.loads(made[0]) if made else fit(None)  # Spark runs no task over a table that it finds to be empty
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in pieces whose texts hold about limit bytes; a longer text comes alone."""
     column_at = batch.schema.get_field_index(column)
