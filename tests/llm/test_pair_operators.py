@@ -78,9 +78,12 @@ def test_first_of_each_group_removes_rows_not_ids(spark):
     assert found[:5] == [1, 3, 4, 5, 7] and len(found) == 6 and found[5] in (8, 9, 10)
 
 
-def test_band_count_meets_recall():
-    n = ngram_join.band_count(0.8, 5, 0.999)
-    assert 1 - (1 - 0.8**5) ** n >= 0.999 > 1 - (1 - 0.8**5) ** (n - 1)
+def test_banding_meets_recall_with_the_fewest_false_candidates():
+    bands, rows = ngram_join.banding(0.8, 0.999, 128)
+    met = lambda s, r, b: 1 - (1 - s**r) ** b
+    assert met(0.8, rows, bands) >= 0.999 > met(0.8, rows, bands - 1) and bands * rows <= 128
+    false = lambda r, b: sum(met(s / 1000, r, b) for s in range(800))
+    assert all(false(r, b) >= false(rows, bands) for r in range(1, 9) for b in range(1, 128 // r + 1) if met(0.8, r, b) >= 0.999)
 
 
 def test_no_repeated_passage_stays_and_each_removed_one_has_its_like_before(spark, corpus):

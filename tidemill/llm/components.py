@@ -10,28 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.storage import written
+from tidemill.llm.storage import Scratch
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component, its least node, for every node that edges name. Null nodes are left out."""
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    edges = written(edges, "components")
-    last = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # A node whose least neighbour is itself keeps its own larger neighbours; so does every node through its larger ones.
-        alone = edges.where("u = v")
-        edges = written(large.union(alone).distinct(), "components")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        small = written(small.where("u <> v").union(edges.where("u = v")).distinct(), "components")
-        state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if tuple(state) == last:
-            break
-        last = tuple(state)
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    with Scratch(edges.sparkSession, "components") as scratch:
+        edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+        edges = scratch.written(edges, "edges")
+        last = None
+        while True:
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            # A node whose least neighbour is itself keeps its own larger neighbours; so does every node through its larger ones.
+            alone = edges.where("u = v")
+            large = scratch.written(large.union(alone).distinct(), "large")
+            scratch.drop(edges)
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+            edges = scratch.written(small.where("u <> v").union(large.where("u = v")).distinct(), "small")
+            scratch.drop(large)
+            state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+            if state == last:
+                break
+            last = state
+        nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return scratch.result(nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")))

@@ -1,15 +1,19 @@
 """N-gram Jaccard join by MinHash banding.
 
-A document's n-grams are its SHINGLE-word shingles. Rows per band are given, and the number of
-bands follows from the recall asked for at the threshold. Texts that are equal but for white
-space and the case of A-Z are one class and are compared once. Band hashes are shuffled; classes
-that share a band are candidates, whose full shingle sets are then compared exactly.
+A document's n-grams are its SHINGLE-word shingles. The number of bands and of rows in a band follow from the
+recall asked for at the threshold: of those that meet it with at most HASHES hashes, the pair that lets
+the fewest unlike documents meet. Texts that are equal but for white space and the case of A-Z are one
+class and are compared once. Band hashes are shuffled; classes that share a band are candidates, whose
+full shingle sets are then compared exactly, each pair in the first band that it shares only.
 
-Candidates are brought together by the components of their shared bands, so each candidate's set
-travels once. Small components share a task; a large one is cut into blocks of BLOCK classes,
-and each pair of blocks is a task of its own. A task returns counts of links and one edge for
-each class, never pairs, so a large group of near copies costs no pair rows. Joins skip the
-shuffle of the documents only while the list to join has at most BROADCAST_ROWS rows.
+Buckets of the same classes are compared once. Small buckets share a task; a large one is cut into blocks
+of at most BLOCK classes and about BLOCK_BYTES, and each pair of blocks is a task of its own. A task returns counts of links and
+one edge for each class, never pairs, so a large group of near copies costs no pair rows. A bucket's work
+grows with the square of its classes: of those that share a band, no pair is left out. Joins skip the
+shuffle of the documents only while the list to join is small in bytes (storage.sized).
+
+Recall: a pair at the threshold shares a band with probability RECALL, one of more likeness with more
+(0.85: 0.99995); pairs that share none are not linked. Every link that is given is exact.
 
 Defined results: a text that is null or has no word is linked to nothing; one of fewer words than
 a shingle has one shingle of them all; rows that repeat an id are one document for the group's
@@ -28,22 +32,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.storage import written
+from tidemill.llm.storage import Scratch, sized, unused
 from tidemill.llm.words import bound_batches, group_sum, mix, releasing, shingles, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, RECALL = 5, 0.999
-BLOCK = 256
-#: Classes of small components that one task compares, about.
-TASK_CLASSES = 2_000
-BROADCAST_ROWS = 1_000_000
+RECALL, HASHES = 0.999, 128
+BLOCK, BLOCK_BYTES = 256, 4_000_000
+#: Bytes of shingle sets that one task compares, about.
+TASK_BYTES = 8_000_000
 
 
-def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
+def band_count(threshold: float, rows: int, recall: float) -> int:
     """The fewest bands of that many rows that meet the recall at the threshold: a pair is met with probability 1 - (1 - threshold ** rows) ** bands."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
+def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """Bands and rows that meet the recall at the threshold with at most so many hashes, and of such the ones by which the fewest pairs below the threshold meet, were likenesses evenly spread."""
+    fits = [(band_count(threshold, rows, recall), rows) for rows in range(1, hashes + 1)]
+    fits = [(bands, rows) for bands, rows in fits if bands * rows <= hashes] or fits[:1]
+    below = np.arange(0.5, 100) / 100 * threshold
+    return min(fits, key=lambda f: (1 - (1 - below ** f[1]) ** f[0]).mean())
+
+
 def _factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -65,8 +76,8 @@ def text_keys(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nd
     return tuple(mix(group_sum(mix(hashes * np.uint64(salt) + place * np.uint64(0xBF58476D1CE4E5B9)), before) + n) for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int = ROWS) -> DataFrame:
-    """id, raw (a hash of the text as it is), key, check (the text's word sequence) and bands of every text with a word; of the others, id and raw alone."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+    """id, raw (a hash of the text as it is), key, check (the text's word sequence), grams (how many shingles) and bands of every text with a word; of the others, id and raw alone."""
 
     @releasing
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +91,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 if len(grams):
                     found[~empty] = minhash_bands(grams, np.append(at[:-1][~empty], at[-1]), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(found.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(key.view(np.int64), mask=empty), pa.array(check.view(np.int64), mask=empty), lists], ["id", "raw", "key", "check", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(key.view(np.int64), mask=empty), pa.array(check.view(np.int64), mask=empty), pa.array(np.diff(at)), lists], ["id", "raw", "key", "check", "grams", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).mapInArrow(signed, f"id {kind}, raw long, key long, check long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).mapInArrow(signed, f"id {kind}, raw long, key long, check long, grams long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -120,23 +131,23 @@ def common(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
     return out
 
 
-def _linked(sets: list[np.ndarray], copies: np.ndarray, cut: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each set: linked classes, their copies, and the least place that links lead to here. cut: only pairs across that place count; None: all pairs."""
+def _linked(sets: list[np.ndarray], copies: np.ndarray, wanted: np.ndarray, left: slice, right: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set: linked ones, their copies, and the least place that links lead to here. wanted: which pairs of left and right to compare."""
     n = len(sets)
-    left, right = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    both = common(sets, left, right)
-    linked = both.astype(np.float64) * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right]) - 1e-6
-    if cut is None:
-        np.fill_diagonal(linked, False)
-    links, weight, label = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
-    links[left] += linked.sum(axis=1)
-    weight[left] += linked @ copies[right]
-    if cut is not None:
-        links[right] += linked.sum(axis=0)
-        weight[right] += linked.T @ copies[left]
-    a, b = np.nonzero(linked)
-    a, b = a + left.start, b + right.start
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    if wanted.sum() <= n:
+        a, b = np.nonzero(wanted)
+        a, b = a + left.start, b + right.start
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.float64)
+        linked = both * (1 + threshold) >= threshold * (sizes[a] + sizes[b]) - 1e-6
+        a, b = a[linked], b[linked]
+    else:
+        both = common(sets, left, right).astype(np.float64)
+        a, b = np.nonzero(wanted & (both * (1 + threshold) >= threshold * (sizes[left][:, None] + sizes[right]) - 1e-6))
+        a, b = a + left.start, b + right.start
+    links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    weight = (np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)).astype(np.int64)
+    label = np.arange(n)
     while True:  # least label over all links, until it is settled
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -148,40 +159,75 @@ def _linked(sets: list[np.ndarray], copies: np.ndarray, cut: int | None, thresho
         label = new
 
 
-def linked_within(members: DataFrame, sets: DataFrame, threshold: float, tasks: int) -> DataFrame:
-    """All pairs of each component's members compared exactly. members: component, node, copies; sets: key, set; tasks: how many compare the small components.
+def _wanted(bands: np.ndarray, band: int, left: slice, right: slice) -> np.ndarray:
+    """Which pairs of left and right (each pair once) share no band before band."""
+    wanted = np.ones((left.stop - left.start, right.stop - right.start), dtype=bool)
+    if left == right:
+        wanted = np.triu(wanted, 1)
+    for k in range(band):
+        wanted &= bands[left, k][:, None] != bands[right, k]
+    return wanted
+
+
+def linked_within(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of each bucket's members compared exactly, each in the first band that it shares.
 
-    node, links, weight (the copies of the linked), least (the least node that links lead to within the blocks compared), a row for each pair of blocks.
+    members, a written table: bucket, size and bytes (of the bucket), band (its number), node, copies, bands. sets: key, set.
+    node, links, weight (the copies of the linked), least (the least node that links lead to in this comparison), for each node that has a link in a block.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = members.join(sizes, "component").join(sets, F.col("node") == F.col("key")).drop("key")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    members = members.withColumn("blocks", F.least(blocks, F.col("size").cast("int")))
+    # Each row stands for an even share of its bucket's bytes.
+    small = members.where("blocks = 1").agg(F.sum(F.col("bytes") / F.col("size"))).first()[0] or 0
+    tasks = max(1, math.ceil(small / TASK_BYTES))
+    placed = members.join(sets, F.col("node") == F.col("key")).drop("key")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("component", "node", "copies", "set", "blocks", "block", other)
+    placed = placed.select("bucket", "band", "node", "copies", "bands", "set", "blocks", "block", other)
     placed = placed.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("task"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("task"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("low"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("high"),
-        "component", "node", "copies", "set", "block",
+        "bucket", "band", "node", "copies", "bands", "set", "block",
     )
 
     def compared(table: pa.Table) -> pa.Table:
         across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("node", "ascending")])
-        component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+        table = table.sort_by([("bucket", "ascending"), ("block", "ascending"), ("node", "ascending")]).combine_chunks()
+        bucket, block, band = (table.column(c).to_numpy() for c in ("bucket", "block", "band"))
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set").combine_chunks()]
-        bounds = np.append(np.flatnonzero(np.append(True, component[1:] != component[:-1])), len(component))
+        lists = table.column("bands").combine_chunks()
+        bands = lists.flatten().to_numpy().reshape(len(lists), -1)
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set")]
+        bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         links, weight, least = np.zeros_like(node), np.zeros_like(node), node.copy()
         for a, b in zip(bounds, bounds[1:], strict=False):
-            cut = int(np.searchsorted(block[a:b], block[b - 1])) if across else None
-            links[a:b], weight[a:b], label = _linked(sets[a:b], copies[a:b], cut, threshold)
-            least[a:b] = node[a:b][label]
-        return pa.table({"node": node, "links": links, "weight": weight, "least": least})
+            n, cut = b - a, int(np.searchsorted(block[a:b], block[b - 1])) if across else None
+            left, right = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
+            wanted = _wanted(bands[a:b], band[a], left, right)
+            if wanted.any():
+                links[a:b], weight[a:b], label = _linked(sets[a:b], copies[a:b], wanted, left, right, threshold)
+                least[a:b] = node[a:b][label]
+        some = links > 0
+        return pa.table({"node": node[some], "links": links[some], "weight": weight[some], "least": least[some]})
 
     return placed.groupBy("task", "low", "high").applyInArrow(compared, "node long, links long, weight long, least long")
 
 
+def bucketed(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members that linked_within takes, from classes, a written table of key, copies, grams (how many shingles) and bands.
+
+    Of buckets with the same members the one of the first band stays: no pair's first shared band is lost by that.
+    """
+    each = classes.select("key", "grams", F.posexplode("bands").alias("band", "hash"))
+    buckets = each.groupBy("band", "hash").agg(F.count("*").alias("size"), (F.sum("grams") * 8).alias("bytes"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    buckets = buckets.where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("band", "hash", "bytes")).alias("b")).select("size", "b.*")
+    buckets = scratch.written(buckets, "buckets")
+    members = each.drop("grams").join(buckets, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "size", "bytes", "band", F.col("key").alias("node"))
+    members = scratch.written(members, "members")
+    return scratch.written(members.join(classes.select(F.col("key").alias("node"), "copies", "bands"), "node"), "candidates")
+
+
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for every row of docs.
 
@@ -196,34 +242,31 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRE
     """join_groups with two columns more: raw, a hash of the row's text as it is, and lead, the row that stands for the group (null for a text without words)."""
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = written(signatures(own, "id", "text", band_count(threshold, ROWS, recall)), "join-signatures")
-    classes = signed.where("key is not null").groupBy("key", "check").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("lead"))
-    classes = written(classes, "join-classes")
-
-    # Classes that share a band: one edge from each to the least class of the bucket.
-    bands = classes.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = bands.groupBy("band", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
-    edges = bands.join(buckets, ["band", "hash"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    met = written(components(edges), "join-candidates")
-
-    candidates = met.join(classes.select(F.col("key").alias("node"), "copy_id", "copies"), "node")
-    candidates = written(candidates, "join-classes-met")
-    n = candidates.count()
-    ids = candidates.select(F.col("copy_id").alias("met_id")).distinct()
-    chosen = own.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, own["id"].eqNullSafe(ids["met_id"]), "left_semi")
-    sets = shingle_sets(chosen).groupBy("key").agg(F.first("set").alias("set"))
-
-    linked = written(linked_within(candidates, sets, threshold, max(1, n // TASK_CLASSES)), "join-links")
-    counts = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    groups = components(linked.where("links > 0").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    known = classes.select("key", "check", "copy_id", "copies", "lead").join(counts.withColumnRenamed("node", "key"), "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    known = written(known.withColumn("component", F.coalesce("component", "key")), "join-known")
-    least = known.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("lead").alias("lead"))
-    known = known.drop("lead").join(least, "component").drop("component")
-    return signed.drop("bands").join(known, ["key", "check"], "left").select(
-        F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("weight", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"), "raw", "lead",
-    )
+    with Scratch(docs.sparkSession, "join") as scratch:
+        signed = scratch.written(signatures(own, "id", "text", *banding(threshold, recall)), "signatures")
+        classes = signed.where("key is not null").groupBy("key", "check").agg(
+            F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("lead")
+        )
+        classes = scratch.written(classes, "classes")
+        members = bucketed(classes, scratch)
+
+        # The shingle sets of candidates, each from one of the rows that have its text.
+        asked = scratch.written(members.select(F.col("node").alias("key")).distinct().join(classes, "key").select(F.col("lead.id").alias("met_id"), F.col("lead.raw").alias("met_raw")), "asked")
+        chosen = own.join(sized(asked), own["id"].eqNullSafe(asked["met_id"]) & (F.xxhash64(own["text"]) == asked["met_raw"]), "left_semi")
+        sets = shingle_sets(chosen).groupBy("key").agg(F.first("set").alias("set"))
+
+        linked = scratch.written(linked_within(members, sets, threshold), "links")
+        counts = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
+        groups = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b"))).join(counts, "node")
+        groups = scratch.written(groups.join(classes.select(F.col("key").alias("node"), "copy_id", "lead"), "node"), "groups")
+        least = groups.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("lead").alias("lead"))
+        groups = groups.select(F.col("node").alias("key"), "component", "links", "weight").join(least, "component").drop("component")
+        known = classes.select("key", "check", "copy_id", "copies", F.col("lead").alias("own_lead")).join(groups, "key", "left")
+        known = scratch.written(known.select("key", "check", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "copies", "links", "weight", F.coalesce("lead", "own_lead").alias("lead")), "known")
+        return scratch.result(signed.drop("bands", "grams").join(known, ["key", "check"], "left").select(
+            F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
+            F.coalesce(F.col("copies") - 1 + F.coalesce("weight", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"), "raw", "lead",
+        ))
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,11 +274,13 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A row is known by its id and text, so others that share its id, or have none, stay as they are. Of rows of equal id and text, one stays.
     """
-    name = f"`{id_col}`"
-    rows = _joined(docs, id_col, text_col).where("n_links > 0").groupBy(F.col(name).alias("gone id"), F.col("raw").alias("gone raw"), "lead").agg(F.count("*").alias("gone rows"))
-    rows = written(rows.withColumn("is lead", F.col("gone id").eqNullSafe(F.col("lead.id")) & (F.col("gone raw") == F.col("lead.raw"))).drop("lead"), "join-gone")
-    again = rows.where("`is lead` and `gone rows` > 1").select("gone id", "gone raw")
-    same = F.col(name).eqNullSafe(F.col("gone id")) & (F.xxhash64(text_col) == F.col("gone raw"))
-    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    once = docs.join(sized(again), same, "left_semi").withColumn("own raw", F.xxhash64(text_col)).dropDuplicates([id_col, "own raw"]).drop("own raw")
-    return docs.join(sized(rows.where("not `is lead` or `gone rows` > 1").select("gone id", "gone raw")), same, "left_anti").unionByName(once)
+    gone_id, gone_raw, own_raw = unused(docs, "gone_id", "gone_raw", "own_raw")
+    found = _joined(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
+    with Scratch(docs.sparkSession, "join-first") as scratch:
+        rows = found.where("n_links > 0").groupBy("id", "raw", "lead").agg(F.count("*").alias("rows"))
+        rows = rows.select(F.col("id").alias(gone_id), F.col("raw").alias(gone_raw), "rows", (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("raw") == F.col("lead.raw"))).alias("is_lead"))
+        rows = scratch.result(rows)
+    again = rows.where("is_lead and rows > 1").select(gone_id, gone_raw)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(gone_raw))
+    once = docs.join(sized(again), same, "left_semi").withColumn(own_raw, F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, own_raw]).drop(own_raw)
+    return docs.join(sized(rows.where("not is_lead or rows > 1").select(gone_id, gone_raw)), same, "left_anti").unionByName(once)

@@ -7,6 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
+
+#: Of a table's rows, by their columns' number, their strings' bytes and their arrays' entries (of a few numbers each).
+BROADCAST_BYTES = 32_000_000
 
 _own: dict[str, str] = {}
 
@@ -25,8 +30,63 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back without its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sized(df: DataFrame) -> DataFrame:
+    """df, a written table or columns of one, marked for broadcast if its rows take at most BROADCAST_BYTES; beyond that Spark joins it by a shuffle, unless it knows better."""
+    wide = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))] + [48 * F.size(f.name) for f in df.schema if isinstance(f.dataType, ArrayType)]
+    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))).first()
+    return F.broadcast(df) if rows * (16 + 8 * len(df.columns)) + more <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it no column's name."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name += "_"
+        out.append(name)
+    return out
+
+
+class Scratch:
+    """The tables of one call of an operator: those it works with, which go when it ends, and its result, which goes when the application ends.
+
+    with Scratch(spark, "name") as scratch: ... return scratch.result(df)
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(f"{self.folder}/work")
+
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, path: str) -> None:
+        files, path = self._files(path)
+        files.delete(path, True)
+
+    def _table(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = path
+        return found
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a Parquet table, read back without its lineage."""
+        return self._table(df, f"{self.folder}/work/{name}-{len(self.paths)}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as a Parquet table that outlives the call."""
+        files, path = self._files(self.folder)
+        files.deleteOnExit(path)
+        return self._table(df, f"{self.folder}/result")
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that written gave and nothing will read again."""
+        self._delete(self.paths[id(df)])

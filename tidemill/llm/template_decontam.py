@@ -27,13 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.storage import written
+from tidemill.llm.storage import Scratch, sized, unused
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.75
 #: Tokens; each width is dealt twice, half a width apart.
 DRIFTS = (4, 16)
-#: The benchmark's windows are broadcast up to so many rows of 8 bytes, and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
 
 UNITS = "mm cm m km mg g kg ml l ms s min h km/h m/s inch inches ft feet mile miles yd oz lb lbs gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees".split()
 
@@ -56,27 +54,25 @@ def plain(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
-def _plain_windows(words: Column, size: Column) -> Column:
-    """For each size words in a row: place, a hash apart from those of templates, and no slots."""
-    last = F.size(words) - size + 1
-    places = F.when((last >= 1) & (size >= 1), F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit("plain"), F.slice(words, i, size)).alias("hash"), F.array().cast("array<string>").alias("slots")))
+def _places(tokens: Column, size: Column) -> Column:
+    """Where size tokens in a row begin, from 1."""
+    last = F.size(tokens) - size + 1
+    return F.when((last >= 1) & (size >= 1), F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
 
 
-def _places(tokens: Column) -> Column:
-    last = F.size(tokens) - WINDOW + 1
-    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(1))).otherwise(F.array().cast("array<int>"))
+def _template_hashes(tokens: Column) -> Column:
+    return F.transform(_places(tokens, F.lit(WINDOW)), lambda i: F.xxhash64(F.slice(tokens, i, WINDOW)))
 
 
-def _window(i: Column) -> Column:
-    """Of the window of the column t at i: place, hash, and the values in its placeholders, from the column o."""
-    part = F.slice("t", i, WINDOW)
-    own = F.zip_with(part, F.slice("o", i, WINDOW), lambda t, o: F.when(t.startswith("<"), o))
-    return F.struct(i.alias("place"), F.xxhash64(part).alias("hash"), F.filter(own, lambda x: x.isNotNull()).alias("slots"))
+def _plain_hashes(words: Column, size: Column) -> Column:
+    """A hash of each size words in a row, apart from those of templates."""
+    return F.transform(_places(words, size), lambda i: F.xxhash64(F.lit("plain"), F.slice(words, i, size)))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _slots(i: Column) -> Column:
+    """The values in the placeholders of the window at i: what the column o has where the column t has a placeholder."""
+    own = F.zip_with(F.slice("t", i, WINDOW), F.slice("o", i, WINDOW), lambda t, o: F.when(t.startswith("<"), o))
+    return F.filter(own, lambda x: x.isNotNull())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -85,38 +81,47 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     matched_windows of item_windows are in the document; of slot_values values in the item's placeholders,
     consistent_values stand for one value of the document each; reparameterised: some stand for another value.
     """
+    with Scratch(docs.sparkSession, "leaks") as scratch:
+        return scratch.result(_leaks(docs, benchmark, scratch, id_col, text_col, item_col, item_text_col))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    none = F.array().cast("array<string>")
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     items = items.select(F.xxhash64("item", "text").alias("n"), "item", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"), plain(F.col("text")).alias("p"))
     literal = lambda part: F.size(F.filter(part, lambda t: ~t.startswith("<"))) * 2 >= WINDOW
-    items = items.withColumn("usable", F.filter(_places(F.col("t")), lambda i: literal(F.slice("t", i, WINDOW)))).withColumn("size", F.least(F.size("p"), F.lit(WINDOW)))
-    parts = F.when(F.size("usable") > 0, F.transform("usable", _window)).otherwise(_plain_windows(F.col("p"), F.col("size")))
+    items = items.withColumn("usable", F.filter(_places(F.col("t"), F.lit(WINDOW)), lambda i: literal(F.slice("t", i, WINDOW)))).withColumn("size", F.least(F.size("p"), F.lit(WINDOW)))
+    by_template = F.transform("usable", lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("t", i, WINDOW)).alias("hash"), _slots(i).alias("slots")))
+    by_words = F.transform(_plain_hashes(F.col("p"), F.col("size")), lambda h, i: F.struct((i + 1).alias("place"), h.alias("hash"), none.alias("slots")))
     sizes_asked = sorted(r[0] for r in items.where((F.size("usable") == 0) & (F.col("size") > 0)).select("size").distinct().collect())
     # An item's window counts once, with the slots of its first place.
-    item_windows = items.select("n", "item", F.explode(parts).alias("w"))
+    item_windows = items.select("n", "item", F.explode(F.when(F.size("usable") > 0, by_template).otherwise(by_words)).alias("w"))
     item_windows = item_windows.groupBy("n", "w.hash").agg(F.first("item").alias("item"), F.min_by("w.slots", "w.place").alias("slots"), F.min("w.place").alias("at"))
-    item_windows = written(item_windows, "benchmark-windows")
-    sizes = item_windows.groupBy("n").agg(F.count("*").alias("item_windows"))
-    rows = item_windows.count()
+    item_windows = scratch.written(item_windows, "items")
+    sizes = scratch.written(item_windows.groupBy("n").agg(F.count("*").alias("item_windows")), "item-sizes")
+    known = scratch.written(item_windows.select("hash").distinct(), "hashes")
 
+    # All windows of all texts, but for their slots, which only those that meet an item's get.
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    known = _sized(item_windows.select("hash").distinct(), rows)
     words = [plain(F.col("text")).alias("p")] if sizes_asked else []
-    by_words = [_plain_windows(F.col("p"), F.lit(size)) for size in sizes_asked]
-    hashes = F.concat(F.transform(_places(F.col("t")), lambda i: F.xxhash64(F.slice("t", i, WINDOW))), *[w["hash"] for w in by_words])
-    met = own.select("key", tokens(template(F.col("text"))).alias("t"), *words).select("key", F.explode(hashes).alias("hash")).join(known, "hash", "left_semi").select("key").distinct()
-    met = written(met, "benchmark-met")
-    texts = own.join(_sized(met, met.count()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = texts.select("key", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"), *words)
-    found = texts.select("key", F.explode(F.concat(F.transform(_places(F.col("t")), _window), *by_words)).alias("w")).select("key", "w.place", "w.hash", F.col("w.slots").alias("values"))
+    met = own.select("key", tokens(template(F.col("text"))).alias("t"), *words)
+    kinds = [F.struct(F.lit(0).alias("kind"), _template_hashes(F.col("t")).alias("hashes"))] + [F.struct(F.lit(size).alias("kind"), _plain_hashes(F.col("p"), F.lit(size)).alias("hashes")) for size in sizes_asked]
+    met = met.select("key", F.explode(F.array(*kinds)).alias("k")).select("key", "k.kind", F.posexplode("k.hashes").alias("place", "hash"))
+    met = met.join(sized(known), "hash", "left_semi").select("key", "kind", "place", "hash").distinct().withColumn("place", F.col("place") + 1)
+    met = scratch.written(met.groupBy("key").agg(F.collect_list(F.struct("kind", "place", "hash")).alias("met")), "met")
+    texts = own.join(sized(met.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(met, "key")
+    texts = texts.select("key", "met", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
+    slots = lambda m: F.when(m["kind"] == 0, _slots(m["place"])).otherwise(none)
+    found = texts.select("key", F.explode(F.transform("met", lambda m: F.struct(m["place"].alias("place"), m["hash"].alias("hash"), slots(m).alias("values")))).alias("w")).select("key", "w.*")
     shift = F.col("place") - F.col("at")
     sort = lambda width, part, of: F.struct(F.lit(width).alias("width"), F.lit(part).alias("part"), of.cast("int").alias("of"))
     drifting = [sort(w, k, F.floor((shift + k * (w // 2)) / w)) for w in DRIFTS for k in (0, 1)]
-    found = found.join(_sized(item_windows, rows), "hash").withColumn("occurrence", F.explode(F.array(sort(0, 0, F.lit(0)), sort(1, 0, shift), *drifting)))
+    found = found.join(sized(item_windows), "hash").withColumn("occurrence", F.explode(F.array(sort(0, 0, F.lit(0)), sort(1, 0, shift), *drifting)))
     found = found.groupBy("key", "n", "occurrence", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
-    found = written(found, "benchmark-found")
+    found = scratch.written(found, "found")
 
-    enough = found.groupBy("key", "n", "occurrence").agg(F.first("item").alias("item"), F.count("*").alias("matched_windows")).join(F.broadcast(sizes) if rows <= BROADCAST_ROWS else sizes, "n")
+    enough = found.groupBy("key", "n", "occurrence").agg(F.first("item").alias("item"), F.count("*").alias("matched_windows")).join(sized(sizes), "n")
     enough = enough.where(F.col("matched_windows") >= COVERAGE * F.col("item_windows"))
     bare = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     slots = found.select("key", "n", "occurrence", F.explode(F.arrays_zip("slots", "values")).alias("s")).select("key", "n", "occurrence", bare(F.col("s.slots")).alias("slot"), bare(F.col("s.values")).alias("value"))
@@ -139,6 +144,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item, with their columns as they are."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    bad = leaks(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", item_col, item_text_col).select(F.col("id").alias("leaking key")).distinct()
-    return docs.join(bad, key == F.col("leaking key"), "left_anti")
+    (leaking,) = unused(docs, "leaking_key")
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    bad = leaks(docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), benchmark, "id", "text", item_col, item_text_col)
+    with Scratch(docs.sparkSession, "leaks-dropped") as scratch:
+        bad = scratch.result(bad.select(F.col("id").alias(leaking)).distinct())
+    return docs.join(sized(bad), key == F.col(leaking), "left_anti")
