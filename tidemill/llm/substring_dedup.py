@@ -221,7 +221,7 @@ def _sets(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """The different windows of MIN_WORDS words that hold a paragraph that is asked for: text, first word and a hash of the words."""
+    """The different windows of MIN_WORDS words that hold a paragraph that is asked for: text, its first id, first word and a hash of the words."""
     found = Paragraphs(part.column("text"))
     row, asked = _flat(part, "asked")
     place = found.before[row] + asked.field("place").to_numpy()
@@ -234,7 +234,7 @@ def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
     start = np.flatnonzero(np.cumsum(change))
     owner = np.searchsorted(found.before, start, side="right") - 1
     key = found.keys(start, start + MIN_WORDS)
-    return pa.RecordBatch.from_arrays([pa.array(part.column("t").to_numpy()[owner]), pa.array((start - found.before[owner]).astype(np.int32)), pa.array(key.view(np.int64))], ["t", "place", "window"])
+    return pa.RecordBatch.from_arrays([part.column("t").take(pa.array(owner)), part.column("first_id").take(pa.array(owner)), pa.array((start - found.before[owner]).astype(np.int32)), pa.array(key.view(np.int64))], ["t", "first_id", "place", "window"])
 
 
 @releasing
@@ -261,10 +261,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(texts: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
-    """Column t and text of each text that is asked about, with what is asked as a list."""
+    """Those of texts (t, text and more) that are asked about, with what is asked as a list."""
     lists = scratch.written(asked.groupBy("t").agg(F.collect_set(F.struct(*[c for c in asked.columns if c != "t"])).alias("asked")), "asked")
     some = texts.join(sized(lists.select("t")), "t", "left_semi")
-    return some.join(lists.hint("shuffle_hash"), "t").select("t", "text", "asked")
+    return some.join(lists.hint("shuffle_hash"), "t").select(*texts.columns, "asked")
 
 
 def _text_id(text: Column) -> Column:
@@ -318,7 +318,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     hits = scratch.written(hits, "hits")
     first = scratch.written(own.groupBy("t").agg(F.min(F.struct("id"))["id"].alias("first_id"), F.count("*").alias("rows")), "texts")
     several = scratch.written(first.where("rows > 1").select("t", "first_id"), "several")
-    one_each = own.join(sized(several), "t", "left").where("first_id is null or id <=> first_id").select("t", "text")
+    one_each = own.join(sized(several), "t", "left").where("first_id is null or id <=> first_id").select("t", "text", F.col("id").alias("first_id"))
     clusters = _clusters(one_each, hits, scratch)
     found = hits.select("t", "place", "n", "key", "ahead", "behind").distinct().join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     found = scratch.written(found.join(first.select("t", "first_id"), "t"), "found")
@@ -337,7 +337,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     followed = scratch.written(grouped.join(shared_groups, "group").select("t", "place", "cluster").distinct(), "followed")
 
     # Of texts with the same window of MIN_WORDS words, all but the first lose it.
-    windows = _mapped(_asked(one_each, followed.select("t", "place"), scratch), _windows, "t long, place int, window long").join(first.select("t", "first_id"), "t")
+    windows = _mapped(_asked(one_each, followed.select("t", "place"), scratch), _windows, f"t long, first_id {own.schema['id'].dataType.simpleString()}, place int, window long")
     windows = scratch.written(windows, "windows")
     leaders = windows.groupBy("window").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high")
     leaders = scratch.written(leaders.select("window", "lead"), "leaders")

@@ -1,18 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-A text is a row of tokens: its words, lower-cased, then one end. They are spelled in symbols, the
-words' bytes with a space between words and END after the last. The tree's nodes are contexts of
-up to DEPTH symbols, of any length. A context is a candidate if it is at least MIN_SHARE of all
-training symbols (so a length has at most 1 / MIN_SHARE candidates, whatever the corpus holds), and it
-is kept, with its suffixes, if its next-symbol distribution diverges from its parent's by
-MIN_EVIDENCE nats over all its occurrences. A distribution is smoothed towards its parent's, and
-each symbol is scored in the state of the longest suffix that is kept. A token's probability is
-mixed from its spelling by the tree and the add-one unigram estimate, so that frequent words keep
-the weight that no short context can give them.
-
-Counts cover the whole corpus: n-grams and word counts are gathered per task, then summed by
-Spark. Word counts never meet in one place; each block of documents joins the counts of its own
-words. The tree alone is broadcast.
+A text is a row of tokens: its words, lower-cased, then one end. A word is spelled in symbols by its bytes and a
+space, the end by END. The tree's states are contexts, rows of up to DEPTH symbols of any length. A
+context is a state if its next-symbol distribution, smoothed towards that of its longest suffix that is a state,
+diverges from it by MIN_EVIDENCE nats over all its occurrences in the training texts; nothing else bounds the
+states, so they grow with the corpus. Each symbol is scored in the state of the longest suffix before it.
+
+A token's probability is mixed from its spelling by the tree (TREE_SHARE) and the add-one unigram estimate, so
+that frequent words keep the weight that no short context can give them; the unigram estimate of a token that
+training lacks is spelled by the tree as well. Over all next tokens the mixture sums to 1 at most, so score is the
+log10 of a probability of the text.
+
+All of the corpus is counted. The tree is a table: a row for each different row of DEPTH + 1 symbols in
+the texts, with the probability of the last one in the state of the longest suffix; levels of it are made from
+shorter to longer contexts, by joins. Word counts are a table too. Neither is ever in one place: texts
+are dealt to blocks of about BLOCK_BYTES, and each block joins the rows for its own words and symbols.
 
 Defined results: a null text is empty and has the one token end; repeated rows are scored each;
 with nothing to learn from, every count is 0 and every symbol equally likely; an empty table
@@ -23,63 +25,56 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.words import _LOWER, Words, bound_batches, group_sum, raw, slices, words
+from tidemill.llm.storage import Scratch
+from tidemill.llm.words import _LOWER, Words, bound_batches, group_sum, raw, releasing, slices, words
 
-DEPTH, SYMBOLS = 5, 64
-MIN_SHARE, MIN_EVIDENCE, PARENT_WEIGHT = 5e-6, 20.0, 8.0
+#: A context and its next symbol are packed in a long, a byte each.
+DEPTH, SYMBOLS = 5, 256
+MIN_EVIDENCE, PARENT_WEIGHT = 20.0, 8.0
 TREE_SHARE = 0.7
 END = 10  # a line feed never occurs inside or between words
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 #: The word hash that stands for the token end.
 END_TOKEN = np.uint64(0)
+#: What a row that a block is given says: a word's count, the log10 probability of a row of symbols, or one of the totals.
+WORD, GRAM, TOKENS, DISTINCT = range(4)
 
 
 def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
-    """Symbols of all texts as bytes, each text with DEPTH times END before it and END after it; where a text's own symbols begin; the place after each word's symbols (a space counts to the word before it); the words."""
+    """Symbols of all texts as bytes, each text with DEPTH times END before it; where a text's own symbols begin; the place after each word's symbols; the words."""
     data, offsets = raw(texts)
     found = words(texts)
     n_texts, per_text = len(offsets) - 1, np.diff(found.before)
     owner = np.repeat(np.arange(n_texts), per_text)
-    last = np.zeros(len(found.starts), dtype=bool)
-    last[found.before[1:][per_text > 0] - 1] = True
-    sizes = found.stops - found.starts + ~last
+    sizes = found.stops - found.starts + 1  # with the space
     ends = np.cumsum(sizes) + owner * (DEPTH + 1) + DEPTH
-    total = int(sizes.sum()) + n_texts * (DEPTH + 1)
-    symbols = np.full(total, END, dtype=np.uint8)
-    at = np.arange(int(sizes.sum())) + np.repeat(found.starts - np.cumsum(sizes) + sizes, sizes)
+    total = int(sizes.sum())
+    symbols = np.full(total + n_texts * (DEPTH + 1), END, dtype=np.uint8)
+    at = np.arange(total) + np.repeat(found.starts - np.cumsum(sizes) + sizes, sizes)
     kept = _LOWER[np.append(data, np.uint8(32))[at]]
-    spaces = (np.cumsum(sizes) - 1)[~last]
-    kept[spaces] = 32
-    symbols[np.arange(len(kept)) + np.repeat(ends - np.cumsum(sizes), sizes)] = kept
+    kept[np.cumsum(sizes) - 1] = 32
+    symbols[np.arange(total) + np.repeat(ends - np.cumsum(sizes), sizes)] = kept
     before = np.concatenate(([0], np.cumsum(sizes)))[found.before]
     begins = before[:-1] + np.arange(n_texts) * (DEPTH + 1) + DEPTH
     return symbols, begins, ends, found
 
 
-def _scored(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The places whose symbols are to be predicted: all but those that stand before a text."""
+def grams(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose symbols are to be predicted, all but those that stand before a text, and each symbol there with the DEPTH before it, packed."""
     keep = np.ones(len(symbols), dtype=bool)
     keep[(begins[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
-    return np.flatnonzero(keep)
-
-
-def gram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each different symbol with the DEPTH before it, packed in 8 bits each, and its count."""
-    symbols, begins, _, _ = spelled(texts)
-    at = _scored(symbols, begins)
-    code = np.zeros(len(at), dtype=np.uint64)
+    at = np.flatnonzero(keep)
+    code = np.zeros(len(at), dtype=np.int64)
     for i in range(DEPTH, -1, -1):
-        code = (code << np.uint64(8)) | symbols[at - i]
-    return np.unique(code, return_counts=True)
+        code = (code << 8) | symbols[at - i]
+    return at, code
 
 
 def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,111 +82,68 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code, np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
 
 
-@dataclass
-class Tree:
-    symbol: np.ndarray  # of each byte; the last symbol stands for all rarer bytes
-    share: np.ndarray  # log10 of each byte's share of its symbol
-    child: np.ndarray  # nodes x SYMBOLS: the node whose context has one more symbol in front, or 0
-    log10: np.ndarray  # nodes x SYMBOLS: log10 of the next symbol's probability
-
-    def scores(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbol at each place, in the state of the longest suffix before it."""
-        mapped = self.symbol[symbols]
-        node = np.zeros(len(at), dtype=np.int32)
-        child = self.child.ravel()
-        active, reached = np.arange(len(at)), node
-        for back in range(1, DEPTH + 1):
-            reached = child[reached * SYMBOLS + mapped[at[active] - back]]
-            deeper = reached > 0
-            if not deeper.all():
-                active, reached = active[deeper], reached[deeper]
-            node[active] = reached
-        return self.log10.ravel()[node * SYMBOLS + mapped[at]].astype(np.float64) + self.share[symbols[at]]
-
-
-def build_tree(grams: pd.DataFrame) -> Tree:
-    """The tree from columns depth, code and n: counts of codes of depth + 1 bytes, the last being the next symbol, for every context that is a candidate."""
-    single = grams[grams["depth"] == 0]
-    seen = np.zeros(256)
-    seen[single["code"].to_numpy(dtype=np.int64)] = single["n"]
-    seen[END] += 1
-    own = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-    own = own[seen[own] > 0]
-    symbol = np.full(256, SYMBOLS - 1, dtype=np.int32)
-    symbol[own] = np.arange(len(own))
-    rest = symbol == SYMBOLS - 1
-    share = np.zeros(256)
-    share[rest] = np.log10((seen[rest] + 1) / (seen[rest] + 1).sum())
-    root = np.bincount(symbol, seen, SYMBOLS) + 1
-    rows, parents, olders, kept = [(root / root.sum()).astype(np.float32)[None]], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.ones(1, bool)]
-    known = np.zeros(1, dtype=np.int64)  # the codes of the contexts one shorter, ascending, and the first one's node
-    first = 0
-    for depth in range(1, DEPTH + 1):
-        part = grams[grams["depth"] == depth]
-        code, n = part["code"].to_numpy(dtype=np.int64), part["n"].to_numpy(dtype=np.float64)
-        context = code >> 8
-        for i in range(depth):  # rarer bytes are no context
-            usable = symbol[(context >> (8 * i)) & 255] < SYMBOLS - 1
-            code, n, context = code[usable], n[usable], context[usable]
-        contexts, place = np.unique(context, return_inverse=True)
-        up = contexts & ((1 << (8 * (depth - 1))) - 1)
-        at = np.minimum(np.searchsorted(known, up), len(known) - 1)
-        has = known[at] == up if len(contexts) else np.zeros(0, bool)
-        above = np.concatenate(rows)
-        made, strong = np.zeros((len(contexts), SYMBOLS), np.float32), np.zeros(len(contexts), bool)
-        order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(len(contexts) + 1))
-        for a in range(0, len(contexts), 10_000):
-            b = min(a + 10_000, len(contexts))
-            mine = order[bounds[a] : bounds[b]]
-            counts = np.bincount((place[mine] - a) * SYMBOLS + symbol[code[mine] & 255], n[mine], (b - a) * SYMBOLS).reshape(-1, SYMBOLS)
-            parent = above[first + at[a:b]].astype(np.float64)
-            total = counts.sum(axis=1, keepdims=True)
-            smooth = (counts + PARENT_WEIGHT * parent) / (total + PARENT_WEIGHT)
-            made[a:b] = smooth
-            strong[a:b] = (smooth * np.log(smooth / parent)).sum(axis=1) * total[:, 0] >= MIN_EVIDENCE
-        rows.append(made), parents.append(first + at), olders.append(symbol[(contexts >> (8 * (depth - 1))) & 255]), kept.append(strong & has)
-        first, known = len(above), contexts if len(contexts) else np.full(1, -1)
-    starts = np.cumsum([0] + [len(k) for k in kept])
-    keep = np.concatenate(kept)
-    for depth in range(DEPTH, 1, -1):  # a context stays with its suffixes
-        level = slice(starts[depth], starts[depth + 1])
-        keep[parents[depth][keep[level]]] = True
-    number = np.cumsum(keep) - 1
-    child = np.zeros((int(keep.sum()), SYMBOLS), dtype=np.int32)
-    for depth in range(1, DEPTH + 1):
-        mine = np.flatnonzero(keep[starts[depth] : starts[depth + 1]])
-        child[number[parents[depth][mine]], olders[depth][mine]] = number[starts[depth] + mine]
-    return Tree(symbol, share, child, np.log10(np.concatenate(rows)[keep]))
-
-
-def train_tree(docs: DataFrame, text_col: str = "text") -> Tree:
-    """The tree from all texts of docs."""
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """code and n: each different row of DEPTH + 1 symbols in the texts, and how often training texts have it. rows: text, training."""
 
+    @releasing
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, size = [], [], 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            code, count = _merged(codes, counts)
+            for a in range(0, len(code), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 500_000]), pa.array(count[a : a + 500_000])], ["code", "n"])
+
         for batch in batches:
             for part in slices(batch, "text"):
-                code, count = gram_counts(part.column(0))
-                codes.append(code), counts.append(count)
+                symbols, begins, _, _ = spelled(part.column("text"))
+                at, code = grams(symbols, begins)
+                learned = part.column("training").to_numpy(zero_copy_only=False)[np.searchsorted(begins, at, side="right") - 1]
+                code, place = np.unique(code, return_inverse=True)
+                codes.append(code), counts.append(np.bincount(place, learned, len(code)).astype(np.int64))
                 size += len(code)
                 if size > 4_000_000:
                     merged = _merged(codes, counts)
-                    codes, counts, size = [merged[0]], [merged[1]], 0
+                    codes, counts, size = [merged[0]], [merged[1]], len(merged[0])
+                    if size > 2_000_000:
+                        yield from summed()
+                        codes, counts, size = [], [], 0
         if codes:
-            code, count = _merged(codes, counts)
-            for a in range(0, len(code), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 500_000].astype(np.int64)), pa.array(count[a : a + 500_000])], ["code", "n"])
+            yield from summed()
 
-    grams = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("code")) for d in range(DEPTH + 1)]))
-    grams = grams.select(levels.alias("g"), "n").groupBy("g.depth", "g.code").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("context", F.shiftright("code", 8))
-    sums = grams.groupBy("depth", "context").agg(F.sum("n").alias("of_context"))
-    total = sums.where("depth = 0").select(F.col("of_context").alias("all"))
-    kept = sums.join(F.broadcast(total), F.col("of_context") >= MIN_SHARE * F.col("all")).select("depth", "context")
-    found = grams.join(kept, ["depth", "context"]).select("depth", "code", "n").toPandas()
-    return build_tree(found)
+    return rows.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _low(code: Column, symbols: int) -> Column:
+    """The last symbols of a code."""
+    return code.bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
+
+
+def suffix_tree(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """code (DEPTH + 1 symbols) and log10 (of its last one's probability in the state of its longest suffix), for each code in the texts. rows: text, training."""
+    levels = [scratch.written(_gram_counts(rows), "grams")]
+    for depth in range(DEPTH - 1, -1, -1):
+        levels.append(scratch.written(levels[-1].groupBy(_low(F.col("code"), depth + 1).alias("code")).agg(F.sum("n").alias("n")), "grams"))
+    total = levels[-1].agg(F.sum("n")).first()[0] or 0
+    known = levels[-1].select("code", ((F.col("n") + 1) / F.lit(float(total + SYMBOLS))).alias("p"))
+    for depth in range(1, DEPTH + 1):
+        known = scratch.written(_next_level(levels[DEPTH - depth], known, depth), "states")
+        scratch.drop(levels[DEPTH - depth])
+    return known.select("code", F.log10("p").alias("log10"))
+
+
+def _next_level(level: DataFrame, known: DataFrame, depth: int) -> DataFrame:
+    """code and p for codes of depth + 1 symbols, from their counts and from known, the same for codes one shorter."""
+    weight = F.lit(PARENT_WEIGHT)
+    each = level.select("code", "n", _low(F.col("code"), depth).alias("shorter")).join(known.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter")
+    each = each.select("code", "n", "q", F.shiftright("code", 8).alias("context")).repartition("context")
+    # N * KL of the smoothed distribution against that of the longest suffix; what follows the context nowhere has weight / (N + weight) times the suffix's probability.
+    share = F.col("n") + weight * F.col("q")
+    seen = each.where("n > 0").groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum(share * F.log(share / F.col("q"))).alias("a"), F.sum(share).alias("b"))
+    whole = F.col("total") + weight
+    divergence = (F.col("a") - F.col("b") * F.log(whole)) / whole + (1 - F.col("b") / whole) * F.log(weight / whole)
+    states = seen.where(F.col("total") * divergence >= MIN_EVIDENCE).select("context", "total")
+    return each.join(states, "context", "left").select("code", F.coalesce(share / whole, F.col("q")).alias("p"))
 
 
 def token_hashes(found: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,71 +154,99 @@ def token_hashes(found: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     return out, before
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", tree: Tree | None = None) -> DataFrame:
+def _own_words(table: pa.Table) -> pa.Table:
+    """The different tokens of a block and how often its training texts have them."""
+    codes, counts = [], []
+    for batch in table.to_batches():
+        for part in slices(batch, "text"):
+            own, before = token_hashes(words(part.column("text")), part.num_rows)
+            learned = np.repeat(part.column("training").to_numpy(zero_copy_only=False), np.diff(before))
+            code, place = np.unique(own, return_inverse=True)
+            codes.append(code), counts.append(np.bincount(place, learned, len(code)).astype(np.int64))
+    code, count = _merged(codes, counts)
+    return pa.table({"block": pa.array(np.full(len(code), table.column("block")[0].as_py(), np.int32)), "word": pa.array(code.view(np.int64)), "n": pa.array(count.astype(np.int32))})
+
+
+def _own_grams(table: pa.Table) -> pa.Table:
+    """The different rows of DEPTH + 1 symbols in a block."""
+    codes = [np.unique(grams(*spelled(part.column("text"))[:2])[1]) for batch in table.to_batches() for part in slices(batch, "text")]
+    code = np.unique(np.concatenate(codes))
+    return pa.table({"block": pa.array(np.full(len(code), table.column("block")[0].as_py(), np.int32)), "code": pa.array(code)})
+
+
+def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
+    """The scores of a block's texts; given: kind, key and value of what the block has been given."""
+    if not table.num_rows:
+        none = np.zeros(0)
+        return pa.table({"id": table.column("id"), **{c: pa.array(none, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array(none) for c in ("base_score", "score", "tree_score")}})
+    kind, key, value = (given.column(c).to_numpy() for c in ("kind", "key", "value"))
+    of = lambda k: (key[kind == k], value[kind == k])
+    known = {}
+    for k in (WORD, GRAM):
+        keys, values = of(k)
+        order = np.argsort(keys)
+        known[k] = keys[order], values[order]
+    tokens, distinct = int(of(TOKENS)[1][0]), int(of(DISTINCT)[1][0])
+    ln10 = math.log(10)
+    out = []
+    for batch in table.to_batches():
+        for part in slices(batch, "text"):
+            n = part.num_rows
+            symbols, begins, ends, found = spelled(part.column("text"))
+            own, before = token_hashes(found, n)
+            count = known[WORD][1][np.searchsorted(known[WORD][0], own.view(np.int64))]
+            at, code = grams(symbols, begins)
+            code, place = np.unique(code, return_inverse=True)
+            sums = np.zeros(len(symbols) + 1)
+            sums[at + 1] = known[GRAM][1][np.searchsorted(known[GRAM][0], code)][place]
+            np.cumsum(sums, out=sums)
+            stop = np.empty(len(own), dtype=np.int64)  # the place after each token's symbols
+            final = before[1:] - 1
+            is_word = np.ones(len(own), dtype=bool)
+            is_word[final] = False
+            stop[is_word] = ends
+            stop[final] = np.append(begins[1:] - DEPTH, len(symbols))
+            start = np.empty_like(stop)
+            start[1:] = stop[:-1]
+            start[before[:-1]] = begins
+            by_tree = sums[stop] - sums[start]
+            base = np.log10((count + 1) / (tokens + distinct + 1))
+            unigram = np.where(count > 0, base, base + by_tree)
+            mixed = np.logaddexp(by_tree * ln10 + math.log(TREE_SHARE), unigram * ln10 + math.log(1 - TREE_SHARE)) / ln10
+            out.append(pa.table({
+                "id": part.column("id"), "n_tokens": pa.array(np.diff(before)), "n_known": pa.array(group_sum((count > 0).astype(np.int64), before)),
+                "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)), "base_score": pa.array(group_sum(base, before)), "score": pa.array(group_sum(mixed, before)), "tree_score": pa.array(group_sum(by_tree, before)),
+            }))
+    return pa.concat_tables(out)
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score, tree_score (the tree's alone) of every row; training says which rows are learned from."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    tree = tree or train_tree(docs.where(training), text_col)
-    shared = spark.sparkContext.broadcast(tree)
+    bound_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "suffix-tree") as scratch:
+        return scratch.result(_scores(docs, training, id_col, text_col, scratch))
+
+
+def _scores(docs: DataFrame, training: Column, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training")
-    )
-
-    def counted(table: pa.Table) -> pa.Table:
-        codes, counts = [], []
-        for batch in table.to_batches():
-            for part in slices(batch, "text"):
-                own, before = token_hashes(words(part.column("text")), part.num_rows)
-                learned = np.repeat(part.column("training").to_numpy(zero_copy_only=False), np.diff(before))
-                code, place = np.unique(own, return_inverse=True)
-                codes.append(code), counts.append(np.bincount(place, learned, len(code)).astype(np.int64))
-        code, count = _merged(codes, counts)
-        return pa.table({"block": pa.array(np.full(len(code), table.column("block")[0].as_py(), np.int32)), "word": pa.array(code.astype(np.int64)), "n": pa.array(count.astype(np.int32))})
-
-    own_words = rows.groupBy("block").applyInArrow(counted, "block int, word long, n int")
-    of_word = Window.partitionBy("word")
-    known = own_words.select("block", "word", F.sum("n").over(of_word).alias("c"), "n", F.row_number().over(of_word.orderBy("block")).alias("k"))
-    stats = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_tokens"), F.count_if((F.col("k") == 1) & (F.col("c") > 0)).alias("all_words"))
-    known = known.select("block", "word", "c").crossJoin(F.broadcast(stats))
-
-    def scored(table: pa.Table, counts: pa.Table) -> pa.Table:
-        tree = shared.value
-        word, c = counts.column("word").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-        order = np.argsort(word)
-        word, c = word[order], c[order]
-        tokens, distinct = counts.column("all_tokens")[0].as_py(), counts.column("all_words")[0].as_py()
-        out = []
-        for batch in table.to_batches():
-            for part in slices(batch, "text"):
-                n = part.num_rows
-                symbols, begins, ends, found = spelled(part.column("text"))
-                own, before = token_hashes(found, n)
-                count = c[np.searchsorted(word, own)]
-                at = _scored(symbols, begins)
-                sums = np.zeros(len(symbols) + 1)
-                sums[at + 1] = tree.scores(symbols, at)
-                np.cumsum(sums, out=sums)
-                stop = np.empty(len(own), dtype=np.int64)  # the place after each token's symbols
-                final = before[1:] - 1
-                is_word = np.ones(len(own), dtype=bool)
-                is_word[final] = False
-                stop[is_word] = ends
-                text_end = np.append(begins[1:] - DEPTH, len(symbols))
-                stop[final] = text_end
-                start = np.empty_like(stop)
-                start[1:] = stop[:-1]
-                start[before[:-1]] = begins
-                by_tree = sums[stop] - sums[start]
-                base = np.log10((count + 1) / (tokens + distinct + 1))
-                mixed = np.logaddexp(by_tree * math.log(10) + math.log(TREE_SHARE), base * math.log(10) + math.log(1 - TREE_SHARE)) / math.log(10)
-                out.append(pa.table({
-                    "id": part.column("id"), "n_tokens": pa.array(np.diff(before)), "n_known": pa.array(group_sum((count > 0).astype(np.int64), before)),
-                    "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)), "base_score": pa.array(group_sum(base, before)), "score": pa.array(group_sum(mixed, before)), "tree_score": pa.array(sums[text_end] - sums[begins]),
-                }))
-        return pa.concat_tables(out)
-
-    schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, tree_score double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    tree = suffix_tree(rows.select("text", "training"), scratch)
+    # By the row's place, so that rows that are the same don't meet in one block.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
+    own_words = dealt.groupBy("block").applyInArrow(_own_words, "block int, word long, n int").repartition("word")
+    counts = own_words.groupBy("word").agg(F.sum("n").alias("c"))
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
+    own_grams = dealt.groupBy("block").applyInArrow(_own_grams, "block int, code long")
+
+    def kinds(df: DataFrame, kind: int, key: Column, value: Column) -> DataFrame:
+        return df.select("block", F.lit(kind).cast("tinyint").alias("kind"), key.alias("key"), value.cast("double").alias("value"))
+
+    given = kinds(own_words.join(counts, "word"), WORD, F.col("word"), F.col("c")).union(kinds(own_grams.join(tree, "code"), GRAM, F.col("code"), F.col("log10")))
+    each_block = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(F.broadcast(totals))
+    zero = F.lit(0).cast("long")
+    given = given.union(kinds(each_block, TOKENS, zero, F.col("tokens"))).union(kinds(each_block, DISTINCT, zero, F.col("distinct")))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, tree_score double"
+    scored = dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored, schema)
+    return scored.withColumnRenamed("id", id_col)
