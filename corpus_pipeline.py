@@ -3,6 +3,12 @@
 Language identification drops what it rejects; of each group of near copies the document of the
 least id stays; repeated passages are cut out; documents that leak a benchmark item go; the rest
 are encoded as byte-level BPE ids. All stages but the last return the columns of documents.
+
+Defined results: documents without a letter, null and empty ones among them, are rejected with those
+whose language isn't sure; with no language to learn from, all are. Rows without an id are judged like others, by
+their text; of rows of equal id and text one stays at most. An empty table gives an empty table. Further columns
+of documents are carried to the last stage, whatever their names, which returns its own columns alone. Each stage's docstring
+says what its operator does with ties, long texts and repeated rows.
 """
 
 from __future__ import annotations
@@ -50,6 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = storage.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    with storage.Scratch(spark, "pipeline") as scratch:
+        for k, (_, stage) in enumerate(STAGES):
+            made = stage(spark, docs, sf_dir)
+            made = scratch.result(made) if k == len(STAGES) - 1 else scratch.written(made, "stage")
+            if k:
+                scratch.drop(docs)
+            docs = made
     return docs

@@ -1,6 +1,9 @@
 """Every query that has SQL gives DuckDB's rows at the smallest scale."""
 
 import math
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -33,3 +36,15 @@ def test_entry(spark):
 
 def test_sql_is_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("left", ["nothing", "a module that lacks something"])
+def test_entry_without_llm(tmp_path, left):
+    root = Path(entry.__file__).resolve().parent
+    shutil.copytree(root / "tidemill", tmp_path / "tidemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if left != "nothing":
+        (tmp_path / "tidemill/llm").mkdir()
+        (tmp_path / "tidemill/llm/queries.py").write_text("import a_module_that_is_not_there\n")
+    code = "import __spark_entry__ as e; assert list(e.queries()) == list(e.oracle_sql()) == ['pricing_summary']"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)

@@ -1 +1 @@
-"""A PySpark-native toolkit for tables, streams and training corpora."""
+"""A PySpark-native toolkit for tables and training corpora."""
