@@ -1,22 +1,21 @@
 """The n-gram join, substring dedup, decontamination and components, against brute force."""
 
 import random
-import re
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm import ngram_join, substring_dedup, template_decontam
+from tidemill.llm import ngram_join, substring_dedup, template_decontam, words
 from tidemill.llm.components import components
 
-
-def low(text):
-    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^ \t-\r]+", text or "")]
-
-
-def grams(text):
-    w = low(text)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+from brute import grams, low  # noqa: E402
 
 
 def prose(rng, n):
@@ -41,26 +40,12 @@ def corpus():
 
 def test_join_equals_brute_force(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id long, text string, key string")
-    sets = {i: grams(t) for i, t, _ in corpus}
-    links, group = Counter(), {i: i for i in sets}
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a in sets:
-        for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                links[a] += 1
-                links[b] += 1
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
+    links, group = brute.groups([t for _, t, _ in corpus])
     found = {r.doc_id: r for r in ngram_join.join_groups(docs).collect()}
-    assert {i: (r.class_id, r.n_links) for i, r in found.items() if (r.class_id, r.n_links) != (find(i), links[i])} == {}
-    assert found.keys() == sets.keys()
+    assert {i: (r.class_id, r.n_links) for i, r in found.items() if (r.class_id, r.n_links) != (group[i], len(links[i]))} == {}
+    assert found.keys() == set(range(len(corpus)))
     kept = ngram_join.first_of_each_group(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if find(i) == i}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, g in enumerate(group) if g == i}
 
 
 def test_join_of_repeated_rows_null_ids_and_nothing(spark):
@@ -78,6 +63,59 @@ def test_first_of_each_group_removes_rows_not_ids(spark):
     assert found[:5] == [1, 3, 4, 5, 7] and len(found) == 6 and found[5] in (8, 9, 10)
 
 
+def edited(rng, base, edits):
+    w = list(base)
+    for at in rng.sample(range(len(w)), edits):
+        w[at] = f"edit{rng.random()}"
+    return " ".join(w)
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
+    rng = random.Random(3)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, rng.randrange(4)) for _ in range(90)] + [edited(rng, prose(rng, 40_000), 0)] * 2 + [" ".join(prose(rng, 60)) for _ in range(20)]
+    texts[91] += " and an end"
+    links, group = brute.groups(texts)
+    found = {r.doc_id: r for r in ngram_join.join_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all((found[i].n_links, found[i].class_id) == (len(links[i]), group[i]) for i in range(len(texts)))
+
+
+def boilerplate(rng, n, pairs):
+    """Lines of 60 words that have 40 in common (Jaccard 0.47), then pairs of such with one word changed (0.836)."""
+    shared = prose(rng, 40)
+    lines = [shared + [f"own{i}x{k}" for k in range(20)] for i in range(n + pairs)]
+    for w in lines[n:][:pairs]:
+        lines.append(w[:45] + [f"other{rng.random()}"] + w[46:])
+    return [" ".join(w) for w in lines]
+
+
+def test_pairs_that_share_no_band_are_not_compared():
+    texts = boilerplate(random.Random(8), 500, 50)
+    bands, rows = ngram_join.banding()
+    hashes, before = words.word_hashes(pa.array(texts))
+    found = ngram_join.minhash_bands(*words.shingles(hashes, before, 5), bands, rows)
+    share = {(a, b) for a in range(len(texts)) for b in np.flatnonzero((found[a] == found).any(axis=1)).tolist() if a < b}
+    compared = Counter()
+    for band in range(bands):
+        for value in np.unique(found[:, band]):
+            inside = np.flatnonzero(found[:, band] == value)
+            a, b = np.nonzero(ngram_join._wanted(found[inside], band, slice(0, len(inside)), slice(0, len(inside))))
+            compared.update(zip(inside[a].tolist(), inside[b].tolist(), strict=True))
+    assert set(compared) == share and set(compared.values()) == {1} and len(share) < 0.9 * len(texts) ** 2 / 2
+    assert sum((500 + i, 550 + i) in share for i in range(50)) == 50
+
+
+def test_clashing_names_are_carried(spark, corpus):
+    clashing = ["gone_id", "gone_raw", "own_raw", "cut_id", "cut_text", "cut_passages", "leaking_key", "key", "id", "raw", "t", "rows", "is_lead"]
+    docs = spark.createDataFrame([(i, t, *range(len(clashing))) for i, t, _ in corpus[80:110]], ", ".join(["doc_id long", "text string", *(f"{c} int" for c in clashing)]))
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for kept in (ngram_join.first_of_each_group(docs), substring_dedup.without_repeats(docs), template_decontam.without_leaks(docs, benchmark)):
+        assert kept.columns == docs.columns
+        assert {tuple(r)[2:] for r in kept.collect()} == {tuple(range(len(clashing)))}
+
+
 def test_banding_meets_recall_with_the_fewest_false_candidates():
     bands, rows = ngram_join.banding(0.8, 0.999, 128)
     met = lambda s, r, b: 1 - (1 - s**r) ** b
@@ -148,6 +186,24 @@ def test_two_short_runs_with_other_words_between_them_are_no_passage(spark):
     assert substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("others", [200, 2000])
+def test_pairs_of_lines_in_crowded_buckets_are_found(spark, others):
+    texts = boilerplate(random.Random(others), others, 200)
+    found = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    caught = {(r.doc_id, r.kept_id) for r in found if r.n_words == 60}
+    pairs = {(others + 200 + i, others + i) for i in range(200)}
+    assert caught <= pairs and len(caught) >= (substring_dedup.RECALL - 0.02) * len(pairs), len(caught)
+
+
+def test_substring_dedup_of_null_ids_and_repeated_rows(spark):
+    rng = random.Random(21)
+    passage, own = " ".join(prose(rng, 60)), [" ".join(prose(rng, 20)) for _ in range(5)]
+    rows = [(1, f"{own[0]} {passage}"), (1, f"{own[0]} {passage}"), (None, f"{own[1]} {passage}"), (None, f"{own[2]} clean"), (7, f"{passage} {own[3]}"), (None, None), (7, f"{own[4]} namesake"), (8, "x " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in substring_dedup.without_repeats(docs).collect())
+    assert left == Counter([(1, own[0] + " "), (1, own[0] + " "), rows[2], rows[3], (7, own[3]), rows[5], rows[6], rows[7]])
+
+
 def test_substring_dedup_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "doc_id long, text string")
     assert substring_dedup.repeats(docs).count() == 0 and substring_dedup.repeats(docs.limit(0)).count() == 0
@@ -207,6 +263,39 @@ def test_a_leak_after_a_part_of_a_like_question_is_found(spark):
     assert {0, 1} <= found.keys() and not found[0].reparameterised and found[0].consistent_values == found[0].slot_values
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(17)
+    plain, slots = ["how", "many", "of", "the", "pears", "did", "they", "eat"], ["Anna", "Bob", "7", "12kg", "3", "km", "Rome,"]
+    sentence = lambda n: [rng.choice(plain if rng.random() < 0.7 else slots) for _ in range(n)]
+    items = [" ".join(sentence(rng.randrange(9, 24))) for _ in range(12)]
+    items = [i for i in items if any(sum(not t.startswith("<") for t in brute.template(i).split()[k : k + 8]) >= 4 for k in range(len(i.split()) - 7))]
+    texts = [None, "", " \n"]
+    for _ in range(150):
+        w = sentence(rng.randrange(0, 12))
+        for _ in range(rng.randrange(1, 4)):
+            part = rng.choice(items).split()
+            part = [rng.choice(slots[:2]) if x in slots[:2] and rng.random() < 0.4 else x for x in part]
+            w += part[rng.randrange(0, 5) : rng.randrange(6, 30)] + sentence(rng.randrange(0, 4))
+        texts.append("  ".join(w) if rng.random() < 0.2 else " ".join(w))
+    texts.append("pears " * 20_000 + items[0])
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(None, texts[9], "k"), (4, texts[9], "k")], "doc_id long, text string, key string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    names = ("matched_windows", "item_windows", "slot_values", "consistent_values", "reparameterised")
+    found = Counter((str(r.doc_id), r.item_id, *(r[c] for c in names)) for r in template_decontam.leaks(docs, benchmark).collect())
+    judged = [(d, i, brute.leak(t or "", item)) for d, t in [*enumerate(texts), (None, texts[9]), (4, texts[9])] for i, item in enumerate(items)]
+    expected = Counter((str(d), i, *x) for d, i, x in judged if x)
+    assert len(expected) > 50 and found == expected, (found - expected, expected - found)
+
+
+def test_an_item_more_changes_no_other_items_leaks(spark):
+    docs = spark.createDataFrame([(i, "so " * i + ITEM + " nine red pears") for i in range(4)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    more = benchmark.union(spark.createDataFrame([(2, "nine red pears")], "item_id long, text string"))
+    alone = sorted(tuple(r) for r in template_decontam.leaks(docs, benchmark).collect())
+    both = sorted(tuple(r) for r in template_decontam.leaks(docs, more).collect())
+    assert alone and [r for r in both if r[1] == 1] == alone and len(both) == 8
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, None)]
