@@ -40,6 +40,18 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
     assert byte_bpe.encode_table(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_repeated_rows_and_decoding_of_nulls(spark):
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300_000))  # one pre-token
+    rows = [(1, "the same row"), (1, "the same row"), (None, "no id"), (None, None), (2, long)]
+    encoded = byte_bpe.encode_table(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, public_tokenizers.PATTERN).collect()
+    known = reference()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in encoded) == sorted((str(i), len(known.encode_ordinary(t or ""))) for i, t in rows)
+    ids = {r.n_tokens: bytes(r.ids) for r in encoded}
+    table = spark.createDataFrame([(1, ids[max(ids)], "old"), (2, None, "old"), (3, b"", "old")], "doc_id long, ids binary, text string")
+    back = byte_bpe.decode_table(table, VOCABULARY)
+    assert back.columns == ["doc_id", "ids", "text"] and {r.doc_id: r.text for r in back.collect()} == {1: long, 2: None, 3: ""}
+
+
 def test_rank_queue_pops_lowest_rank_first():
     queue = byte_bpe.RankQueue(50_000)
     for rank in (49_999, 64, 0, 4096, 64):
@@ -67,6 +79,44 @@ def test_language_id(spark, languages):
     assert language_id.predict(languages.limit(0), model).count() == 0
 
 
+def test_language_id_rejects_what_it_has_not_learned(spark, languages):
+    model = language_id.train_from_table(languages, F.lit(True))
+    texts = ["это предложение на русском языке и больше ничего " * 3, "漢字かな交じり文です " * 5, "the fox", "the fox", "der Fuchs und der Fuchs"]
+    docs = spark.createDataFrame([(min(i, 3), t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string")
+    found = sorted(language_id.predict(docs, model).collect(), key=lambda r: r.score)
+    assert sum(r.rejected for r in found) >= 2 and not found[-1].rejected and not any(r.rejected for r in found if r.doc_id == 2 or r.doc_id == 3)
+    assert {r.text for r in language_id.keep_identified(docs, model).collect()} >= {"the fox", "der Fuchs und der Fuchs"}
+    assert not {r.text for r in language_id.keep_identified(docs, model).collect()} & set(texts[:2])
+
+
+def brute_force_prediction(model, text):
+    """The probabilities, n-gram by n-gram."""
+    data = bytes(x if 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in text.encode())
+    data, total, count = b" " + data + b" ", np.zeros(len(model.languages)), 0
+    for n in language_id.GRAMS:
+        for k in range(len(data) - n + 1):
+            gram = data[k : k + n]
+            if 32 in gram[1:-1] or not gram.strip(b" "):
+                continue
+            code = gram[0]
+            for x in gram[1:]:
+                code = (code * 1099511628211 + x) % 2**64
+            total += model.table[((code * 0x9E3779B97F4A7C15 + n * 0x2545F491) % 2**64) >> 48]
+            count += 1
+    z = (total / max(count, 1) + model.bias) / model.temperature
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_language_id_equals_brute_force(spark, languages):
+    model = language_id.train_from_table(languages, F.lit(True))
+    texts = ["The fox, and 3 füchse", "x", "über ALLES", "a-b c" * 50, "der schnelle braune Fuchs " * 3000]
+    for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        p = brute_force_prediction(model, texts[r.doc_id])
+        assert math.isclose(r.score, p.max(), abs_tol=1e-6) and r.lang_pred == model.languages[p.argmax()]
+    tied = language_id.Model(["a", "b"], np.zeros((language_id.BUCKETS, 2), np.float32), np.zeros(2, np.float32), np.ones(language_id.BUCKETS, bool))
+    assert {r.lang_pred for r in language_id.predict(languages, tied).collect()} == {"a"}
+
+
 def test_language_id_with_nothing_to_learn(spark, languages):
     model = language_id.train_from_table(languages.limit(0), language_id.held_out("doc_id", 5, 0))
     assert {r.lang_pred for r in language_id.predict(languages, model).collect()} == {"und"}

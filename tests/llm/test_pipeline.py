@@ -1,0 +1,88 @@
+"""The corpus pipeline as a whole, against plain versions of its stages."""
+
+import hashlib
+import random
+import sys
+from collections import Counter
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from tidemill.llm import byte_bpe, language_id
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+ITEM = "A train leaves Paris at 9 with 40 passengers and 12 kg of mail , how many stops does it make before Rome"
+CLASHING = ["n_chars", "lang", "source", "key", "id", "gone_id", "cut_passages", "leaking_key", "Text_2"]
+
+
+def corpus():
+    rng = random.Random(31)
+    vocabulary = {"en": "the of and that with from have this were been which their would there could people other than then them these into only some over such after also".split(), "de": "der die und das nicht mit auch sich dem von werden aus hat dass nach wird bei einer noch wie einem über einen so zum war haben nur oder aber vor zur".split()}
+    word = lambda lang: rng.choice(vocabulary[lang]) + rng.choice(["", "", "en" if lang == "de" else "ing", "er"])
+    prose = lambda lang, n: [word(lang) for _ in range(n)]
+    passage = prose("en", 70)
+    texts = [("en" if i % 2 else "de", prose("en" if i % 2 else "de", rng.randrange(30, 120))) for i in range(80)]
+    texts += [("en", prose("en", 20 + i) + passage + prose("en", 15)) for i in range(5)]
+    texts += [("en", texts[1][1]), ("en", [*texts[3][1][:-1], "changed"]), ("en", prose("en", 10) + ITEM.split() + prose("en", 10)), ("en", prose("en", 10) + ITEM.replace("Paris", "Oslo").replace("40", "77").split())]
+    rows = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(texts)]
+    rows += [(200, None, "en"), (201, "", "en"), (202, "12 34 ?", None), (203, "x" * 100_000 + " the and of", "en"), (204, rows[5][1] + "  ", "en"), rows[7], (None, rows[9][1], "en"), (None, " ".join(prose("en", 60)), "en"), (205, " ".join(prose("en", 8000)), "en")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("tables")
+    rows = [(i, t, lang, "s", len(t or ""), *range(len(CLASHING) - 3)) for i, t, lang in corpus()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING[3:])
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
+    return f"file://{path}"
+
+
+def test_pipeline_equals_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language_id.train_from_table(docs, ~language_id.held_out("doc_id", 5, 0))
+    kept = [(r.doc_id, r.text) for r in language_id.keep_identified(docs, model).collect()]
+    assert len(kept) > 80 and not {200, 201, 202} & {i for i, _ in kept}
+    kept = sorted(set(kept), key=lambda r: (r[0] is None, r[0] or 0))  # of equal rows one stays
+    _, group = brute.groups([t for _, t in kept])
+    kept = [kept[k] for k in range(len(kept)) if group[k] == k]
+    kept.sort(key=lambda r: (r[0] is not None, r[0] or 0))  # a null id counts as the least
+    cut = [(i, w) for (i, _), w in zip(kept, brute.without_windows(kept), strict=True) if w]
+    clean = Counter((str(i), len(w)) for i, w in cut if not brute.leak(" ".join(w), ITEM.lower()) and "passengers" not in w)
+    found = corpus_pipeline.run(spark, folder).collect()
+    ranks = byte_bpe.read_ranks(Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes())
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {}
+    for r in found:
+        text = known.decode_bytes([int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)])
+        assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == hashlib.sha256(text).hexdigest() and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert known.encode_ordinary(text.decode()) == [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
+        texts[r.doc_id] = text.decode()
+    assert Counter((str(r.doc_id), len(brute.low(known.decode([int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)])))) for r in found) == clean
+    own = {i: " ".join(w) for i, w in cut}
+    assert all(" ".join(brute.low(texts[i])) == own[i] for i in texts if i is not None)
+
+
+def test_stages_carry_columns_and_an_empty_table_gives_an_empty_one(spark, folder):
+    docs = now = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns and now.dtypes == docs.dtypes
+    assert {tuple(r)[5:] for r in now.collect()} == {tuple(range(len(CLASHING) - 3))}
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        assert now.count() == 0
+
+
+def test_working_tables_go(spark, folder):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.rglob("work/*"))
+    corpus_pipeline.run(spark, folder)
+    assert set(shared.rglob("work/*")) <= before

@@ -12,8 +12,9 @@ Texts are encoded map-only. The codes of pre-tokens met before are kept in a tab
 size in each Python worker; that only saves time.
 
 Defined results: a null text is empty and has no tokens; repeated rows are encoded alike; an
-empty table gives an empty table; a text of one very long pre-token needs memory for its own
-list only. Only the two named columns are read, so further columns never clash.
+empty table gives an empty table; a pre-token needs memory for its own
+list only, about 75 bytes for each of its own. Encoding reads only the two named columns, so further columns never
+clash; decoding carries all columns, replaces one of the name it is asked to give, and makes null of null.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 A text's subwords are the byte n-grams of its words with a boundary byte on each side. Their
 hashed embeddings are averaged over the whole text and a linear softmax gives the languages'
 probabilities. Embeddings and softmax are trained by stochastic gradient descent in numpy on a
-bounded sample of labelled rows. A temperature and a rejection threshold are then fitted on rows
-that training has not seen. As averaging and the linear layer commute, prediction only needs one
+bounded sample of labelled rows, by one task. A temperature and two rejection thresholds are then fitted on rows
+that training has not seen: of the language's probability, and of the share of a text's subwords that
+training has met, as a language that is none of those learned has fewer. As averaging and the linear layer commute, prediction only needs one
 table of BUCKETS rows, broadcast at a fixed size; it runs map-only over whole texts.
 
 Defined results: a text that is null or has no letter gets the language und, score 0, and is
@@ -44,14 +45,20 @@ class Model:
     languages: list[str]
     table: np.ndarray  # BUCKETS x languages: embedding times softmax weights
     bias: np.ndarray
+    known: np.ndarray  # BUCKETS: whether training had a subword of the bucket
     temperature: float = 1.0
-    threshold: float = 0.0
+    sure: float = 0.0  # a text is rejected whose language has a lower probability,
+    familiar: float = 0.0  # or of whose subwords a lower share is known
 
-    def probabilities(self, texts: pa.Array) -> np.ndarray:
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The languages' probabilities of each text, and the share of its subwords that are known."""
         ids, before = subwords(texts)
-        counts = np.maximum(np.diff(before), 1)[:, None]
+        counts = np.maximum(np.diff(before), 1)
         sums = np.stack([group_sum(self.table[:, k][ids], before) for k in range(len(self.languages))], axis=1)
-        return softmax((sums / counts + self.bias) / self.temperature)
+        return softmax((sums / counts[:, None] + self.bias) / self.temperature), group_sum(self.known[ids].astype(np.int64), before) / counts
+
+    def accepts(self, probabilities: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return (probabilities.max(axis=1) >= self.sure) & (share >= self.familiar)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -107,7 +114,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     held, seen = np.split(order, [len(y) // 10])
-    embed = random.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
+    embed = np.zeros((BUCKETS, WIDTH), dtype=np.float32)  # so that subwords that training lacks say nothing
     weights = np.zeros((WIDTH, len(languages)), dtype=np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     weights += random.normal(0, 0.1, weights.shape).astype(np.float32)
@@ -130,25 +137,37 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2
             order = np.argsort(cat, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(cat[order])))
             embed[cat[order[first]]] -= step * np.add.reduceat((share * np.repeat(back, counts, axis=0))[order], first, axis=0)
-    model = Model(languages, embed @ weights, bias)
+    known = np.zeros(BUCKETS, dtype=bool)
+    for i in seen:
+        known[rows[i][0]] = True
+    model = Model(languages, embed @ weights, bias, known)
     if len(held):
         calibrate(model, [texts[i] for i in held], y[held])
     return model
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """Fits the temperature by the log loss, then a threshold that loses at most REJECTED_SHARE of the right predictions."""
+    """Fits the temperature by the log loss, then thresholds of probability and of known subwords, each of which loses at most REJECTED_SHARE of the right predictions."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    judged = lambda: np.concatenate([model.probabilities(part.column(0)) for part in slices(batch, "text")])
-    model.temperature = 1.0
-    logits = np.log(np.maximum(judged(), 1e-30))
+    parts = [model.judge(part.column(0)) for part in slices(batch, "text")]
+    p, share = (np.concatenate(x) for x in zip(*parts, strict=True))
+    logits = np.log(np.maximum(p, 1e-30))
     loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = min(np.exp(np.linspace(-2, 2, 41)), key=loss)
-    p = judged()
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    chance = 1 / max(1, len(model.languages))
-    # Few held-back rows say little about the lowest scores, so the threshold stays half-way to chance.
-    model.threshold = chance + 0.5 * max(0.0, float(right[int(REJECTED_SHARE * len(right))]) - chance) if len(right) else 0.0
+    p = softmax(logits / model.temperature)
+    right = p.argmax(axis=1) == y
+    if not right.any():
+        return
+
+    # Few held-back rows say little about the lowest scores, so the thresholds stay nearer to what chance gives: the probability
+    # by two thirds of the way, in log odds (the temperature drives sure texts close to 1), the share half-way.
+    lowest = lambda scores: float(np.sort(scores)[int(REJECTED_SHARE * len(scores))])
+    others = max(1, len(model.languages) - 1)
+    p = min(max(lowest(p.max(axis=1)[right]), 1e-6), 1 - 1e-7)
+    odds = max(1.0, p / (1 - p) * others) ** (1 / 3) / others
+    model.sure = odds / (1 + odds)
+    chance = float(model.known.mean())
+    model.familiar = chance + 0.5 * max(0.0, lowest(share[right]) - chance)
 
 
 def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -165,7 +184,7 @@ def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", la
 
     def fit(found: pa.Table | None) -> Model:
         if found is None:
-            return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+            return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, dtype=bool))
         found = found.sort_by([("draw", "ascending"), ("lang", "ascending")])
         return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
@@ -185,13 +204,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in slices(batch, "text"):
                 n, usable = part.num_rows, np.asarray(part.column("letters").fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
                 if model.languages:
-                    p = model.probabilities(part.column("text"))
-                    best = p.argmax(axis=1)
+                    p, share = model.judge(part.column("text"))
+                    best, accepted = p.argmax(axis=1), model.accepts(p, share)
                     score = np.where(usable, p[np.arange(n), best], 0.0)
                     names = np.where(usable, np.array(model.languages, dtype=object)[best], "und")
                 else:
-                    score, names = np.zeros(n), np.full(n, "und", dtype=object)
-                rejected = (names == "und") | (score < model.threshold)
+                    score, names, accepted = np.zeros(n), np.full(n, "und", dtype=object), np.zeros(n, dtype=bool)
+                rejected = (names == "und") | ~accepted
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
@@ -215,6 +234,6 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         model = shared.value
         for batch in batches:
             for part in slices(batch, text_col):
-                yield part.filter(pa.array(model.probabilities(part.column(text_col)).max(axis=1) >= model.threshold))
+                yield part.filter(pa.array(model.accepts(*model.judge(part.column(text_col)))))
 
     return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
