@@ -333,7 +333,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     # A paragraph can be in a shared window only if another text has it with the same words on one side.
     sides = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(i), "key", c)) for i, c in enumerate(("ahead", "behind"))]))).alias("group")
     grouped = found.where(~is_line).select("t", "place", "cluster", sides)
-    shared_groups = grouped.groupBy("group").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("group")
+    # What a join reads is written before it: Spark can then split a hot group's partition.
+    shared_groups = scratch.written(grouped.groupBy("group").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("group"), "groups")
     followed = scratch.written(grouped.join(shared_groups, "group").select("t", "place", "cluster").distinct(), "followed")
 
     # Of texts with the same window of MIN_WORDS words, all but the first lose it.
