@@ -39,7 +39,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 RECALL, HASHES = 0.999, 128
 BLOCK, BLOCK_BYTES = 256, 4_000_000
 #: Bytes of shingle sets that one task compares, about.
-TASK_BYTES = 8_000_000
+TASK_BYTES = 2_000_000
 
 
 def band_count(threshold: float, rows: int, recall: float) -> int:
