@@ -284,3 +284,30 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(gone_raw))
     once = docs.join(sized(again), same, "left_semi").withColumn(own_raw, F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, own_raw]).drop(own_raw)
     return docs.join(sized(rows.where("not is_lead or rows > 1").select(gone_id, gone_raw)), same, "left_anti").unionByName(once)
+
+
+#: The rows of join_groups, every pair of texts that share a shingle being compared; banding meets all its links at the scale of a test.
+ORACLE_SQL = """
+WITH RECURSIVE
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+classes AS (SELECT w, min(doc_id) AS copy_id, count(*) AS copies FROM docs WHERE len(w) > 0 GROUP BY w),
+grams AS (
+  SELECT DISTINCT copy_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM classes),
+sizes AS (SELECT copy_id, count(*) AS n FROM grams GROUP BY copy_id),
+pairs AS (
+  SELECT x.copy_id AS a, y.copy_id AS b, count(*) AS n
+  FROM grams x JOIN grams y ON x.g = y.g AND x.copy_id <> y.copy_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.copy_id JOIN sizes y ON b = y.copy_id
+  WHERE pairs.n * 10 >= 8 * (x.n + y.n - pairs.n)),
+reached AS (
+  SELECT copy_id AS node, copy_id AS other FROM classes
+  UNION SELECT b, other FROM reached JOIN links ON a = node),
+groups AS (SELECT node, min(other) AS class_id FROM reached GROUP BY node),
+counts AS (SELECT a AS node, count(*) AS links, sum(copies) AS weight FROM links JOIN classes ON b = copy_id GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id,
+       CAST(coalesce(copies - 1 + coalesce(weight, 0), 0) AS BIGINT) AS n_links, CAST(coalesce(links, 0) AS BIGINT) AS n_class_links
+FROM docs LEFT JOIN classes USING (w) LEFT JOIN groups ON copy_id = groups.node LEFT JOIN counts ON copy_id = counts.node"""

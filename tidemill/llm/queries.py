@@ -50,7 +50,7 @@ def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", "cluster", "kept_id")
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", "kept_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_merkle_fingerprint": merkle.ORACLE_SQL}
+    return {"op1_template_decontamination": template_decontam.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op7_merkle_fingerprint": merkle.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -15,8 +15,8 @@ compared by a hash of all its words: each goes that an earlier text has too, and
 A line goes whose verified like comes earlier. Equal texts are compared once: of a text of MIN_WORDS words
 or more, all rows go but those of the least id. As each removed passage has its like before it, one copy always stays.
 
-Recall: equal passages of MIN_WORDS words are always met. Lines at the threshold meet with probability RECALL and
-pass the finer bands, if they need them, with that of the n-gram join; of 200 pairs of Jaccard 0.84 whose lines share
+Recall: equal passages of MIN_WORDS words are always met. Lines at the threshold share a band with probability RECALL and
+one of the finer bands, if they need them, with that of the n-gram join; of 200 pairs of Jaccard 0.84 whose lines share
 40 words with 200 and 2,000 others, the tests ask for at least RECALL less two in a hundred.
 
 No group is gathered: but for blocks, a bucket or a cluster is known by its least member, which Spark
@@ -43,8 +43,9 @@ from tidemill.llm.storage import Scratch, sized, unused
 from tidemill.llm.words import _BASE, _INVERSE, Words, _power, bound_batches, mix, raw, releasing, slices, words
 
 MIN_WORDS, PARAGRAPH, SPACING = 50, 20, 31
-ROWS, RECALL = 2, 0.98
-BANDS = band_count(THRESHOLD, ROWS, RECALL)
+ROWS, RECALL = 2, 0.999
+#: Lines have the bands that the recall asks for. Equal content-defined paragraphs share any band; likes of them, which only name clusters, are met with probability 0.98.
+LINE_BANDS, BANDS = band_count(THRESHOLD, ROWS, RECALL), band_count(THRESHOLD, ROWS, 0.98)
 #: Two paragraphs in one passage of MIN_WORDS words have so many more words in common on one side at least.
 SIDE = (MIN_WORDS - PARAGRAPH) // 2
 #: Bits of the filter by which most paragraphs that collide with none stay out of a shuffle, and parts that it is made in.
@@ -117,20 +118,20 @@ class Paragraphs:
         """Hashes of the words from start to stop."""
         return mix((self.sums[stop] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start] + (stop - start).astype(np.uint64))
 
-    def bands(self) -> np.ndarray:
-        """Band hashes of each paragraph."""
-        out = np.zeros((len(self.start), BANDS), dtype=np.uint64)
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """Band hashes of each content-defined paragraph, and of each line."""
         k = self.n_content
+        content, lines = np.zeros((k, BANDS), dtype=np.uint64), np.zeros((len(self.start) - k, LINE_BANDS), dtype=np.uint64)
         part = np.stack([self.grams[self.start[:k] + i] for i in range(PARAGRAPH - SHINGLE + 1)]) if k else None
         ends = np.stack((self.start[k:], self.start[k:] + self.size[k:] - SHINGLE + 1), axis=1).ravel()
         padded = np.append(self.grams, _MOST)
-        for i, factor in enumerate(_factors(BANDS * ROWS)):
+        for i, factor in enumerate(_factors(LINE_BANDS * ROWS)):
             band = i // ROWS
-            if k:
-                out[:k, band] = mix(out[:k, band] + (part * factor).min(axis=0))
+            if k and band < BANDS:
+                content[:, band] = mix(content[:, band] + (part * factor).min(axis=0))
             if len(ends):
-                out[k:, band] = mix(out[k:, band] + np.minimum.reduceat(padded * factor, ends)[::2])
-        return out + np.arange(BANDS, dtype=np.uint64)
+                lines[:, band] = mix(lines[:, band] + np.minimum.reduceat(padded * factor, ends)[::2])
+        return content + np.arange(BANDS, dtype=np.uint64), lines + np.arange(LINE_BANDS, dtype=np.uint64)
 
     def beside(self, ahead: bool) -> pa.Array:
         """A key of the SIDE words after, or before, each content-defined paragraph; null if there aren't as many or for a line."""
@@ -158,8 +159,9 @@ def _mapped(rows: DataFrame, one, schema: str) -> DataFrame:
 def _banded(part: pa.RecordBatch) -> pa.RecordBatch:
     """The different band hashes of each text."""
     found = Paragraphs(part.column("text"))
-    t = part.column("t").to_numpy()[np.repeat(found.owner, BANDS)]
-    hashes = found.bands().ravel()
+    content, lines = found.bands()
+    owner = np.concatenate((np.repeat(found.owner[: len(content)], BANDS), np.repeat(found.owner[len(content) :], LINE_BANDS)))
+    t, hashes = part.column("t").to_numpy()[owner], np.concatenate((content.ravel(), lines.ravel()))
     order = np.lexsort((hashes, t))
     t, hashes = t[order], hashes[order]
     new = np.append(True, (t[1:] != t[:-1]) | (hashes[1:] != hashes[:-1]))[: len(t)]
@@ -192,9 +194,11 @@ def _listed(part: pa.RecordBatch, filtered: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((found.start, at, keys, found.owner))
     again = (np.diff(found.owner[order]) == 0) & (keys[order][1:] == keys[order][:-1]) & (np.diff(at[order]) == 0)
     first = np.sort(order[~np.append(False, again)[: len(order)]])
-    bands = found.bands()[first]
+    content, lines = found.bands()
+    bands = np.concatenate((np.pad(content, ((0, 0), (0, LINE_BANDS - BANDS))), lines))[first]
     bit = bands & np.uint64(FILTER_BITS - 1)
     passes = (filtered[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    passes[first < len(content), BANDS:] = False
     kept = passes.any(axis=1)
     first, bands, passes = first[kept], bands[kept], passes[kept]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(passes.sum(axis=1)))).astype(np.int32)), pa.array(bands[passes].view(np.int64)))
@@ -403,3 +407,37 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.col(cut_list).isNull()
     left = joined.withColumn(text_col, F.when(whole, text).otherwise(cut(text, F.coalesce(F.col(cut_list), none))))
     return left.where(whole | text.rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Of the rows of repeats: id, first_word, n_words and kept_id, every window and every two lines that share a shingle being compared; banding meets all its lines at the scale of a test.
+ORACLE_SQL = """
+WITH RECURSIVE
+texts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first_id FROM documents GROUP BY ALL),
+lined AS (
+  SELECT first_id, k, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT first_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM texts)),
+whole AS (SELECT first_id, flatten(list(w ORDER BY k)) AS w FROM lined GROUP BY first_id),
+windows AS (
+  SELECT first_id, i - 1 AS place, array_to_string(w[i:i + 49], ' ') AS words
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM whole)),
+leaders AS (SELECT words, min((first_id, place)) AS lead FROM windows GROUP BY words HAVING min(first_id) <> max(first_id)),
+led AS (SELECT first_id, lead[1] AS kept_id, place, place - lead[2] AS shift FROM windows JOIN leaders USING (words) WHERE first_id <> lead[1]),
+marked AS (SELECT *, coalesce(CAST(place - lag(place) OVER (PARTITION BY first_id, kept_id, shift ORDER BY place) > 50 AS INT), 1) AS new FROM led),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY first_id, kept_id, shift ORDER BY place) AS run FROM marked),
+runs AS (SELECT first_id, min(place) AS first_word, max(place) - min(place) + 50 AS n_words, kept_id FROM numbered GROUP BY first_id, kept_id, shift, run),
+long_lines AS (
+  SELECT first_id, place, w FROM (SELECT first_id, w, coalesce(sum(len(w)) OVER (PARTITION BY first_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM lined) WHERE len(w) >= 50),
+classes AS (SELECT w, row_number() OVER (ORDER BY w) AS c FROM (SELECT DISTINCT w FROM long_lines)),
+grams AS (SELECT DISTINCT c, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM classes),
+sizes AS (SELECT c, count(*) AS n FROM grams GROUP BY c),
+pairs AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.c <> y.c GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.c JOIN sizes y ON b = y.c WHERE pairs.n * 10 >= 8 * (x.n + y.n - pairs.n)),
+reached AS (SELECT c AS node, c AS other FROM classes UNION SELECT b, other FROM reached JOIN links ON a = node),
+clusters AS (SELECT node, min(other) AS cluster FROM reached GROUP BY node),
+members AS (SELECT first_id, place, len(w) AS n, cluster FROM long_lines JOIN classes USING (w) JOIN clusters ON c = node),
+first_lines AS (SELECT cluster, min((first_id, place))[1] AS kept_id FROM members GROUP BY cluster)
+SELECT first_id AS doc_id, CAST(first_word AS INT) AS first_word, CAST(n_words AS INT) AS n_words, kept_id
+FROM (SELECT * FROM runs UNION SELECT first_id, place, n, kept_id FROM members JOIN first_lines USING (cluster) WHERE first_id <> kept_id)
+UNION ALL
+SELECT doc_id, 0, CAST(len(w) AS INT), first_id
+FROM documents JOIN texts ON coalesce(documents.text, '') = texts.text JOIN whole USING (first_id) WHERE doc_id <> first_id AND len(w) >= 50"""

@@ -36,6 +36,9 @@ DRIFTS = (4, 16)
 UNITS = "mm cm m km mg g kg ml l ms s min h km/h m/s inch inches ft feet mile miles yd oz lb lbs gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees".split()
 
 
+_MARK = r"[\p{Pi}\p{Pf}\p{Ps}\p{Pe}\"'.,;:!?¿¡]"
+
+
 def template(text: Column) -> Column:
     """text with placeholders, token for token."""
     text = F.regexp_replace(text, r"(?<!\S)[^\s\d]*+\d\S*+", "<num>")
@@ -49,8 +52,7 @@ def tokens(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """The words of text as they stand, but for case and the punctuation around them."""
-    mark = r"[\p{Pi}\p{Pf}\p{Ps}\p{Pe}\"'.,;:!?¿¡]+"
-    text = F.regexp_replace(F.lower(text), rf"(?<!\S){mark}(?=[^\s])|(?<=[^\s]){mark}(?!\S)", "")
+    text = F.regexp_replace(F.lower(text), rf"(?<!\S){_MARK}+(?=[^\s])|(?<=[^\s]){_MARK}+(?!\S)", "")
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
@@ -150,3 +152,61 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     with Scratch(docs.sparkSession, "leaks-dropped") as scratch:
         bad = scratch.result(bad.select(F.col("id").alias(leaking)).distinct())
     return docs.join(sized(bad), key == F.col(leaking), "left_anti")
+
+
+_SQL_MARK = _MARK.replace("'", "''")
+
+#: The rows of leaks: token by token where leaks uses look-around, and every window of every text joined.
+ORACLE_SQL = rf"""
+WITH texts AS (
+  SELECT DISTINCT 'd' AS side, NULL::BIGINT AS item, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT DISTINCT 'b', item_id, coalesce(text, '') FROM benchmark),
+tokens AS (
+  SELECT *, string_split_regex(text, '[\t-\r ]+') AS o, string_split_regex(lower(text), '[\t-\r ]+') AS l FROM texts),
+typed AS (
+  SELECT *, list_transform(o, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<num>' WHEN regexp_matches(x, '^\p{{Lu}}') THEN '<name>' ELSE x END) AS y,
+         list_filter(list_transform(l, lambda x: CASE WHEN length(x) = 1 THEN x ELSE regexp_replace(x, '^{_SQL_MARK}+|{_SQL_MARK}+$', '', 'g') END), lambda x: x <> '') AS p
+  FROM tokens),
+templates AS (
+  SELECT side, item, text, o, p,
+         list_transform(y, lambda x, i: CASE WHEN i > 1 AND y[i - 1] = '<num>' AND list_contains({UNITS}, x) THEN '<unit>' ELSE x END) AS t
+  FROM typed),
+windows AS (
+  SELECT side, item, text, i AS place, t[i:i + {WINDOW - 1}] AS w, list_transform(list_filter(range(i, i + {WINDOW}), lambda k: starts_with(t[k], '<')), lambda k: o[k]) AS slots,
+         len(list_filter(t[i:i + {WINDOW - 1}], lambda x: NOT starts_with(x, '<'))) * 2 >= {WINDOW} AS usable
+  FROM (SELECT *, unnest(range(1, len(t) - {WINDOW} + 2)) AS i FROM templates)),
+worded AS (
+  SELECT item, text, least(len(p), {WINDOW}) AS size FROM templates t
+  WHERE side = 'b' AND len(p) > 0 AND NOT EXISTS (SELECT 1 FROM windows v WHERE v.side = 'b' AND v.usable AND v.item IS NOT DISTINCT FROM t.item AND v.text = t.text)),
+plains AS (
+  SELECT side, item, text, i AS place, list_concat(['plain'], p[i:i + size - 1]) AS w, []::VARCHAR[] AS slots
+  FROM (SELECT t.*, s.size, unnest(range(1, len(p) - s.size + 2)) AS i FROM templates t JOIN (SELECT DISTINCT size FROM worded) s ON t.side = 'd' OR s.size = least(len(p), {WINDOW}))),
+item_windows AS (
+  SELECT item, text AS item_text, w, arg_min(slots, place) AS slots, min(place) AS at
+  FROM (SELECT item, text, w, slots, place FROM windows WHERE side = 'b' AND usable
+        UNION ALL SELECT item, text, w, slots, place FROM plains SEMI JOIN worded USING (item, text) WHERE side = 'b') GROUP BY ALL),
+sizes AS (SELECT item, item_text, count(*) AS item_windows FROM item_windows GROUP BY ALL),
+found AS (
+  SELECT d.text, item, item_text, w, b.slots, d.slots AS "values", d.place, d.place - b.at AS shift
+  FROM (SELECT text, w, slots, place FROM windows WHERE side = 'd' UNION ALL SELECT text, w, slots, place FROM plains WHERE side = 'd') d JOIN item_windows b USING (w)),
+dealt AS (
+  SELECT * EXCLUDE (shift), unnest([(0, 0, 0), (1, 0, shift), {", ".join(f"({w}, {k}, CAST(floor((shift + {k * (w // 2)}) / {w}) AS BIGINT))" for w in DRIFTS for k in (0, 1))}]) AS occurrence FROM found),
+each AS (SELECT text, item, item_text, occurrence, w, any_value(slots) AS slots, arg_min("values", place) AS "values" FROM dealt GROUP BY text, item, item_text, occurrence, w),
+enough AS (
+  SELECT text, item, item_text, occurrence, count(*) AS matched, any_value(item_windows) AS item_windows
+  FROM each JOIN sizes USING (item, item_text) GROUP BY ALL HAVING count(*) >= {COVERAGE} * any_value(item_windows)),
+bare AS (
+  SELECT text, item, item_text, occurrence, regexp_replace(z[1], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS slot, regexp_replace(z[2], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS value
+  FROM (SELECT text, item, item_text, occurrence, unnest(list_zip(slots, "values")) AS z FROM each)),
+kept AS (SELECT text, item, item_text, occurrence, slot, min(value) AS low, max(value) AS high FROM bare GROUP BY ALL),
+slotted AS (
+  SELECT text, item, item_text, occurrence, count(*) AS slot_values, count(*) FILTER (low = high) AS consistent, bool_or(low <> slot OR high <> slot) AS changed
+  FROM kept GROUP BY ALL),
+judged AS (
+  SELECT e.text, e.item, e.item_text, matched, item_windows, coalesce(slot_values, 0) AS slot_values, coalesce(consistent, 0) AS consistent, coalesce(changed, false) AS changed
+  FROM enough e LEFT JOIN slotted s USING (text, item, item_text, occurrence)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY text, item, item_text ORDER BY matched DESC, consistent DESC, changed, slot_values DESC) AS k
+  FROM judged WHERE consistent >= {CONSISTENT} * slot_values)
+SELECT doc_id, item AS item_id, matched AS matched_windows, item_windows, slot_values, consistent AS consistent_values, changed AS reparameterised
+FROM best JOIN documents ON best.text = coalesce(documents.text, '') WHERE k = 1"""
