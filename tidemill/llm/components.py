@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from tidemill.llm.storage import Scratch
 
 
+def _state(edges: DataFrame) -> tuple:
+    """The same for the same edges in any order."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component, its least node, for every node that edges name. Null nodes are left out."""
     with Scratch(edges.sparkSession, "components") as scratch:
         edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
         edges = scratch.written(edges, "edges")
-        last = None
+        last = _state(edges)
         while True:
             both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -31,7 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
             edges = scratch.written(small.where("u <> v").union(large.where("u = v")).distinct(), "small")
             scratch.drop(large)
-            state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+            state = _state(edges)
             if state == last:
                 break
             last = state

@@ -55,7 +55,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -74,12 +74,12 @@ class Scratch:
     def _table(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(found)] = path
+        self.tables.append((found, path))
         return found
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """df as a Parquet table, read back without its lineage."""
-        return self._table(df, f"{self.folder}/work/{name}-{len(self.paths)}")
+        return self._table(df, f"{self.folder}/work/{name}-{len(self.tables)}")
 
     def result(self, df: DataFrame) -> DataFrame:
         """df as a Parquet table that outlives the call."""
@@ -89,4 +89,4 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that written gave and nothing will read again."""
-        self._delete(self.paths[id(df)])
+        self._delete(next(path for table, path in self.tables if table is df))
