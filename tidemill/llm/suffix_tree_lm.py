@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.storage import Scratch
@@ -40,7 +40,7 @@ MIN_EVIDENCE, PARENT_WEIGHT = 20.0, 8.0
 TREE_SHARE = 0.7
 END = 10  # a line feed never occurs inside or between words
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 #: The word hash that stands for the token end.
 END_TOKEN = np.uint64(0)
 #: What a row that a block is given says: a word's count, the log10 probability of a row of symbols, or one of the totals.
@@ -67,51 +67,69 @@ def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]
 
 
 def grams(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places whose symbols are to be predicted, all but those that stand before a text, and each symbol there with the DEPTH before it, packed."""
+    """Which places have symbols to be predicted, all but those that stand before a text, and each symbol there with the DEPTH before it, packed."""
     keep = np.ones(len(symbols), dtype=bool)
     keep[(begins[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
-    at = np.flatnonzero(keep)
-    code = np.zeros(len(at), dtype=np.int64)
+    code = np.zeros(len(symbols), dtype=np.int64)
     for i in range(DEPTH, -1, -1):
-        code = (code << 8) | symbols[at - i]
-    return at, code
+        code <<= 8
+        code[i:] |= symbols[: len(symbols) - i]
+    return keep, code[keep]
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, place = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
+def _counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, ascending, and how often each comes, or its weights' sum."""
+    order = None if weights is None else np.argsort(codes, kind="stable")
+    codes = np.sort(codes) if order is None else codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    if order is None:
+        return codes[first], np.diff(np.append(first, len(codes)))
+    return codes[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
 
 
-def _gram_counts(rows: DataFrame) -> DataFrame:
-    """code and n: each different row of DEPTH + 1 symbols in the texts, and how often training texts have it. rows: text, training."""
+def _kinds(symbols: np.ndarray, begins: np.ndarray, found: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """WORD and the hashes of all tokens, then GRAM and all rows of DEPTH + 1 symbols; each with how many are each text's."""
+    own, before = token_hashes(found, len(begins))
+    yield WORD, own.view(np.int64), np.diff(before)
+    yield GRAM, grams(symbols, begins)[1], np.diff(np.append(begins, len(symbols) + DEPTH)) - DEPTH
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """kind, key and n: each different token and row of DEPTH + 1 symbols in the texts, and how often training texts have it. rows: text, training."""
 
     @releasing
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, size = [], [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
+
+        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            return _counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
 
-        def summed() -> Iterator[pa.RecordBatch]:
-            code, count = _merged(codes, counts)
-            for a in range(0, len(code), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 500_000]), pa.array(count[a : a + 500_000])], ["code", "n"])
+        def given(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            held[kind] = []
+            for a in range(0, len(key), 500_000):
+                part = key[a : a + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(n[a : a + 500_000])], ["kind", "key", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                symbols, begins, _, _ = spelled(part.column("text"))
-                at, code = grams(symbols, begins)
-                learned = part.column("training").to_numpy(zero_copy_only=False)[np.searchsorted(begins, at, side="right") - 1]
-                code, place = np.unique(code, return_inverse=True)
-                codes.append(code), counts.append(np.bincount(place, learned, len(code)).astype(np.int64))
-                size += len(code)
-                if size > 4_000_000:
-                    merged = _merged(codes, counts)
-                    codes, counts, size = [merged[0]], [merged[1]], len(merged[0])
-                    if size > 2_000_000:
-                        yield from summed()
-                        codes, counts, size = [], [], 0
-        if codes:
-            yield from summed()
-
-    return rows.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                training = part.column("training").to_numpy(zero_copy_only=False)
+                symbols, begins, _, found = spelled(part.column("text"))
+                for kind, key, each in _kinds(symbols, begins, found):
+                    learned = np.repeat(training, each)
+                    for some, times in ((learned, 1), (~learned, 0)):
+                        own, n = _counted(key[some])
+                        held[kind].append((own, n * times))
+                    if sum(len(k) for k, _ in held[kind]) > 2_000_000:
+                        key, n = merged(kind)
+                        if len(key) > 1_000_000:
+                            yield from given(kind, key, n)
+                        else:
+                            held[kind] = [(key, n)]
+        for kind in held:
+            if held[kind]:
+                yield from given(kind, *merged(kind))
+
+    return rows.mapInArrow(counted, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _low(code: Column, symbols: int) -> Column:
@@ -119,9 +137,9 @@ def _low(code: Column, symbols: int) -> Column:
     return code.bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
 
-def suffix_tree(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """code (DEPTH + 1 symbols) and log10 (of its last one's probability in the state of its longest suffix), for each code in the texts. rows: text, training."""
-    levels = [scratch.written(_gram_counts(rows), "grams")]
+def suffix_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """code (DEPTH + 1 symbols) and log10 (of its last one's probability in the state of its longest suffix), from counts: code and n of each code in the texts."""
+    levels = [scratch.written(counts, "grams")]
     for depth in range(DEPTH - 1, -1, -1):
         levels.append(scratch.written(levels[-1].groupBy(_low(F.col("code"), depth + 1).alias("code")).agg(F.sum("n").alias("n")), "grams"))
     total = levels[-1].agg(F.sum("n")).first()[0] or 0
@@ -136,14 +154,14 @@ def _next_level(level: DataFrame, known: DataFrame, depth: int) -> DataFrame:
     """code and p for codes of depth + 1 symbols, from their counts and from known, the same for codes one shorter."""
     weight = F.lit(PARENT_WEIGHT)
     each = level.select("code", "n", _low(F.col("code"), depth).alias("shorter")).join(known.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter")
-    each = each.select("code", "n", "q", F.shiftright("code", 8).alias("context")).repartition("context")
     # N * KL of the smoothed distribution against that of the longest suffix; what follows the context nowhere has weight / (N + weight) times the suffix's probability.
-    share = F.col("n") + weight * F.col("q")
-    seen = each.where("n > 0").groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum(share * F.log(share / F.col("q"))).alias("a"), F.sum(share).alias("b"))
+    share, seen = F.col("n") + weight * F.col("q"), F.col("n") > 0
+    context = Window.partitionBy("context")  # 256 rows at most; dealt before the sums' terms are made, as these needn't travel
+    each = each.select("code", "n", "q", F.shiftright("code", 8).alias("context")).repartition("context")
+    each = each.select("code", "n", "q", F.sum("n").over(context).cast("double").alias("total"), F.sum(F.when(seen, share * F.log(share / F.col("q"))).otherwise(0.0)).over(context).alias("a"), F.sum(F.when(seen, share).otherwise(0.0)).over(context).alias("b"))
     whole = F.col("total") + weight
     divergence = (F.col("a") - F.col("b") * F.log(whole)) / whole + (1 - F.col("b") / whole) * F.log(weight / whole)
-    states = seen.where(F.col("total") * divergence >= MIN_EVIDENCE).select("context", "total")
-    return each.join(states, "context", "left").select("code", F.coalesce(share / whole, F.col("q")).alias("p"))
+    return each.select("code", F.when(F.col("total") * divergence >= MIN_EVIDENCE, share / whole).otherwise(F.col("q")).alias("p"))
 
 
 def token_hashes(found: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,24 +172,17 @@ def token_hashes(found: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     return out, before
 
 
-def _own_words(table: pa.Table) -> pa.Table:
-    """The different tokens of a block and how often its training texts have them."""
-    codes, counts = [], []
+def _own(table: pa.Table) -> pa.Table:
+    """The different tokens and rows of DEPTH + 1 symbols in a block."""
+    held: dict[int, list[np.ndarray]] = {WORD: [], GRAM: []}
     for batch in table.to_batches():
         for part in slices(batch, "text"):
-            own, before = token_hashes(words(part.column("text")), part.num_rows)
-            learned = np.repeat(part.column("training").to_numpy(zero_copy_only=False), np.diff(before))
-            code, place = np.unique(own, return_inverse=True)
-            codes.append(code), counts.append(np.bincount(place, learned, len(code)).astype(np.int64))
-    code, count = _merged(codes, counts)
-    return pa.table({"block": pa.array(np.full(len(code), table.column("block")[0].as_py(), np.int32)), "word": pa.array(code.view(np.int64)), "n": pa.array(count.astype(np.int32))})
-
-
-def _own_grams(table: pa.Table) -> pa.Table:
-    """The different rows of DEPTH + 1 symbols in a block."""
-    codes = [np.unique(grams(*spelled(part.column("text"))[:2])[1]) for batch in table.to_batches() for part in slices(batch, "text")]
-    code = np.unique(np.concatenate(codes))
-    return pa.table({"block": pa.array(np.full(len(code), table.column("block")[0].as_py(), np.int32)), "code": pa.array(code)})
+            symbols, begins, _, found = spelled(part.column("text"))
+            for kind, key, _ in _kinds(symbols, begins, found):
+                held[kind].append(_counted(key)[0])
+    keys = {kind: _counted(np.concatenate(held[kind]))[0] for kind in held}
+    kinds = np.repeat(list(keys), [len(k) for k in keys.values()]).astype(np.int8)
+    return pa.table({"block": pa.array(np.full(len(kinds), table.column("block")[0].as_py(), np.int32)), "kind": pa.array(kinds), "key": pa.array(np.concatenate(list(keys.values())))})
 
 
 def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
@@ -195,10 +206,10 @@ def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
             symbols, begins, ends, found = spelled(part.column("text"))
             own, before = token_hashes(found, n)
             count = known[WORD][1][np.searchsorted(known[WORD][0], own.view(np.int64))]
-            at, code = grams(symbols, begins)
+            keep, code = grams(symbols, begins)
             code, place = np.unique(code, return_inverse=True)
             sums = np.zeros(len(symbols) + 1)
-            sums[at + 1] = known[GRAM][1][np.searchsorted(known[GRAM][0], code)][place]
+            sums[1:][keep] = known[GRAM][1][np.searchsorted(known[GRAM][0], code)][place]
             np.cumsum(sums, out=sums)
             stop = np.empty(len(own), dtype=np.int64)  # the place after each token's symbols
             final = before[1:] - 1
@@ -231,22 +242,20 @@ def _scores(docs: DataFrame, training: Column, id_col: str, text_col: str, scrat
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    tree = suffix_tree(rows.select("text", "training"), scratch)
+    counts = scratch.written(_counts(rows.select("text", "training")), "counts")
+    of_words = counts.where(F.col("kind") == WORD)
+    totals = scratch.written(of_words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")), "totals")
+    tree = suffix_tree(counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n"), scratch)
+    kind = lambda k: F.lit(k).cast("tinyint").alias("kind")
+    # A probability's logarithm is rounded to 24 bits, which the shuffle compresses.
+    values = of_words.select(kind(WORD), "key", F.col("n").cast("double").alias("value")).union(tree.select(kind(GRAM), "code", F.col("log10").cast("float").cast("double")))
+
     # By the row's place, so that rows that are the same don't meet in one block.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-
-    own_words = dealt.groupBy("block").applyInArrow(_own_words, "block int, word long, n int").repartition("word")
-    counts = own_words.groupBy("word").agg(F.sum("n").alias("c"))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
-    own_grams = dealt.groupBy("block").applyInArrow(_own_grams, "block int, code long")
-
-    def kinds(df: DataFrame, kind: int, key: Column, value: Column) -> DataFrame:
-        return df.select("block", F.lit(kind).cast("tinyint").alias("kind"), key.alias("key"), value.cast("double").alias("value"))
-
-    given = kinds(own_words.join(counts, "word"), WORD, F.col("word"), F.col("c")).union(kinds(own_grams.join(tree, "code"), GRAM, F.col("code"), F.col("log10")))
-    each_block = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(F.broadcast(totals))
-    zero = F.lit(0).cast("long")
-    given = given.union(kinds(each_block, TOKENS, zero, F.col("tokens"))).union(kinds(each_block, DISTINCT, zero, F.col("distinct")))
+    given = dealt.groupBy("block").applyInArrow(_own, "block int, kind tinyint, key long").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    of_all = F.explode(F.array(*[F.struct(kind(k), F.lit(0).cast("long").alias("key"), F.col(c).cast("double").alias("value")) for k, c in ((TOKENS, "tokens"), (DISTINCT, "distinct"))])).alias("v")
+    each_block = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    given = given.union(each_block.join(F.broadcast(totals.select(of_all))).select("block", "v.*"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, tree_score double"
     scored = dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored, schema)
     return scored.withColumnRenamed("id", id_col)
