@@ -18,8 +18,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component, its least node, for every node that edges name. Null nodes are left out."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", into: Scratch | None = None) -> DataFrame:
+    """node and component, its least node, for every node that edges name. Null nodes are left out. into: whose working table the result becomes."""
     with Scratch(edges.sparkSession, "components") as scratch:
         edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
         edges = scratch.written(edges, "edges")
@@ -41,4 +41,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 break
             last = state
         nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        return scratch.result(nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")))
+        nodes = nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        return into.written(nodes, "components") if into else scratch.result(nodes)

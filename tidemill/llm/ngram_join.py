@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
 from tidemill.llm.storage import Scratch, sized, unused
-from tidemill.llm.words import bound_batches, group_sum, mix, releasing, shingles, slices, word_hashes
+from tidemill.llm.words import bound_batches, group_sum, mix, releasing, releasing_table, shingles, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 RECALL, HASHES = 0.999, 128
@@ -211,7 +211,7 @@ def linked_within(members: DataFrame, sets: DataFrame, threshold: float) -> Data
         some = links > 0
         return pa.table({"node": node[some], "links": links[some], "weight": weight[some], "least": least[some]})
 
-    return placed.groupBy("task", "low", "high").applyInArrow(compared, "node long, links long, weight long, least long")
+    return placed.groupBy("task", "low", "high").applyInArrow(releasing_table(compared), "node long, links long, weight long, least long")
 
 
 def bucketed(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -257,7 +257,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRE
 
         linked = scratch.written(linked_within(members, sets, threshold), "links")
         counts = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-        groups = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b"))).join(counts, "node")
+        groups = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b")), into=scratch).join(counts, "node")
         groups = scratch.written(groups.join(classes.select(F.col("key").alias("node"), "copy_id", "lead"), "node"), "groups")
         least = groups.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("lead").alias("lead"))
         groups = groups.select(F.col("node").alias("key"), "component", "links", "weight").join(least, "component").drop("component")

@@ -288,7 +288,7 @@ def _clusters(texts: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.written(_mapped(_asked(texts, place.select("p.t", "p.place", "p.n", "key"), scratch), _sets, "key long, set binary"), "sets")
     sides = [sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
     edges = scratch.written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long"), "alike")
-    so_far = components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    so_far = components(edges, into=scratch).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
     # Where a bucket's other keys are not in one cluster by now, they are joined as the n-gram join does it, by finer bands.
     others = members.where("key <> least").join(so_far, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     others = scratch.written(others.select("hash", "key", "cluster"), "others")
@@ -297,7 +297,7 @@ def _clusters(texts: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     signed = scratch.written(sets.join(open_keys, "key", "left_semi").mapInArrow(_signed, "key long, copies long, grams long, bands array<long>"), "signed")
     more = linked_within(bucketed(signed, scratch), sets, THRESHOLD).select(F.col("node").alias("a"), F.col("least").alias("b"))
     edges = edges.union(scratch.written(more, "more-alike"))
-    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    return components(edges, into=scratch).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.storage import Scratch
-from tidemill.llm.words import _LOWER, Words, bound_batches, group_sum, raw, releasing, slices, words
+from tidemill.llm.words import _LOWER, Words, bound_batches, group_sum, raw, releasing, releasing_table, slices, words
 
 #: A context and its next symbol are packed in a long, a byte each.
 DEPTH, SYMBOLS = 5, 256
@@ -40,7 +40,7 @@ MIN_EVIDENCE, PARENT_WEIGHT = 20.0, 8.0
 TREE_SHARE = 0.7
 END = 10  # a line feed never occurs inside or between words
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: The word hash that stands for the token end.
 END_TOKEN = np.uint64(0)
 #: What a row that a block is given says: a word's count, the log10 probability of a row of symbols, or one of the totals.
@@ -180,6 +180,8 @@ def _own(table: pa.Table) -> pa.Table:
             symbols, begins, _, found = spelled(part.column("text"))
             for kind, key, _ in _kinds(symbols, begins, found):
                 held[kind].append(_counted(key)[0])
+                if sum(map(len, held[kind][1:])) > 1_000_000:
+                    held[kind] = [_counted(np.concatenate(held[kind]))[0]]
     keys = {kind: _counted(np.concatenate(held[kind]))[0] for kind in held}
     kinds = np.repeat(list(keys), [len(k) for k in keys.values()]).astype(np.int8)
     return pa.table({"block": pa.array(np.full(len(kinds), table.column("block")[0].as_py(), np.int32)), "kind": pa.array(kinds), "key": pa.array(np.concatenate(list(keys.values())))})
@@ -190,13 +192,14 @@ def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
     if not table.num_rows:
         none = np.zeros(0)
         return pa.table({"id": table.column("id"), **{c: pa.array(none, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array(none) for c in ("base_score", "score", "tree_score")}})
-    kind, key, value = (given.column(c).to_numpy() for c in ("kind", "key", "value"))
-    of = lambda k: (key[kind == k], value[kind == k])
+    kind = given.column("kind").to_numpy()
+    of = lambda k: tuple(given.column(c).filter(pa.array(kind == k)).to_numpy() for c in ("key", "value"))
     known = {}
     for k in (WORD, GRAM):
         keys, values = of(k)
         order = np.argsort(keys)
         known[k] = keys[order], values[order]
+        del keys, values, order
     tokens, distinct = int(of(TOKENS)[1][0]), int(of(DISTINCT)[1][0])
     ln10 = math.log(10)
     out = []
@@ -252,10 +255,10 @@ def _scores(docs: DataFrame, training: Column, id_col: str, text_col: str, scrat
 
     # By the row's place, so that rows that are the same don't meet in one block.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    given = dealt.groupBy("block").applyInArrow(_own, "block int, kind tinyint, key long").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    given = dealt.groupBy("block").applyInArrow(releasing_table(_own), "block int, kind tinyint, key long").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     of_all = F.explode(F.array(*[F.struct(kind(k), F.lit(0).cast("long").alias("key"), F.col(c).cast("double").alias("value")) for k, c in ((TOKENS, "tokens"), (DISTINCT, "distinct"))])).alias("v")
     each_block = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
     given = given.union(each_block.join(F.broadcast(totals.select(of_all))).select("block", "v.*"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, tree_score double"
-    scored = dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored, schema)
+    scored = dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(releasing_table(_scored), schema)
     return scored.withColumnRenamed("id", id_col)

@@ -68,13 +68,30 @@ def releasing(each: Callable) -> Callable:
     @functools.wraps(each)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
-            trim(0)
+        _release()
 
     return wrapped
 
 
+def releasing_table(each: Callable) -> Callable:
+    """The same for a function of a group's tables."""
+
+    @functools.wraps(each)
+    def wrapped(*tables: pa.Table) -> pa.Table:
+        out = each(*tables)
+        _release()
+        return out
+
+    # Spark tells by the arguments' number what a function is given.
+    return (lambda left, right: wrapped(left, right)) if each.__code__.co_argcount == 2 else (lambda table: wrapped(table))
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def fitted(sample: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
     """What fit makes of all rows of sample, a table of bounded size, in one task. So the driver holds the model only. fit gets None for no rows."""
 
