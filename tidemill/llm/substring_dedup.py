@@ -344,9 +344,11 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     # Of texts with the same window of MIN_WORDS words, all but the first lose it.
     windows = _mapped(_asked(one_each, followed.select("t", "place"), scratch), _windows, f"t long, first_id {own.schema['id'].dataType.simpleString()}, place int, window long")
     windows = scratch.written(windows, "windows")
-    leaders = windows.groupBy("window").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high")
-    leaders = scratch.written(leaders.select("window", "lead"), "leaders")
-    led = windows.join(leaders, "window").where(F.col("t") != F.col("lead.t"))
+    spread = windows.groupBy("window").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window")
+    several_have = scratch.written(windows.join(scratch.written(spread, "spread"), "window"), "shared")
+    scratch.drop(windows)
+    leaders = scratch.written(several_have.groupBy("window").agg(F.min(F.struct("first_id", "t", "place")).alias("lead")), "leaders")
+    led = several_have.join(leaders, "window").where(F.col("t") != F.col("lead.t"))
 
     # Windows at the same distance from those of the same text that overlap or touch are one passage.
     led = led.groupBy("t", "first_id", F.col("lead.t").alias("lead_t"), F.col("lead.first_id").alias("kept_id"), (F.col("place") - F.col("lead.place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"))
