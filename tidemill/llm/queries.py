@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, ngram_join, reshard, substring_dedup, suffix_tree_lm, template_decontam, toxicity, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, ngram_join, periodic_runs, reshard, simhash_golay, substring_dedup, suffix_tree_lm, template_decontam, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.train_from_table(labelled), url_filter.RULES)
 
 
+def op11_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """id and text of documents; where h, the CRC-32 of the id, is a multiple of 10, the words from a = h / 10 modulo their number on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = F.try_mod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = F.transform(F.array(words), repeated)[0]  # the lambda's variable keeps the words from being found anew for each of them
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), F.coalesce(planted, F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.find_runs(_with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_template_decontamination": template_decontam.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op7_merkle_fingerprint": merkle.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op1_template_decontamination": template_decontam.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op7_merkle_fingerprint": merkle.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}

@@ -146,10 +146,9 @@ class Words:
         return mix((self._sums[stops] - self._sums[self.starts]) * factors + (stops - self.starts).astype(np.uint64))
 
 
-def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
-    """The words of all texts; space says which bytes stand between words."""
+def bounds(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where each word starts and stops in them, and how many words come before each text (with the end); space says which bytes stand between words."""
     data, offsets = raw(texts)
-    data = _LOWER[data]
     inside = ~space[data]
     n = len(data)
     begins, ends = inside.copy(), inside.copy()
@@ -159,9 +158,29 @@ def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
     begins[cuts] = inside[cuts]
     ends[cuts - 1] = inside[cuts - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return data, starts, stops, np.searchsorted(starts, offsets)
+
+
+def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
+    """The words of all texts."""
+    data, starts, stops, before = bounds(texts, space)
+    n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n)[:n], out=sums[1:])
-    return Words(starts, stops, np.searchsorted(starts, offsets), sums)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n)[:n], out=sums[1:])
+    return Words(starts, stops, before, sums)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (bytes, where each starts and stops, how many come before each text), those of a text with one space between them: the bytes, where each word starts, and where each text starts (with the end)."""
+    sizes = stops - starts + 1
+    sizes[before[1:][np.diff(before) > 0] - 1] -= 1  # none after a text's last word
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    change = np.zeros(len(data) + 2, dtype=np.int8)
+    change[starts] = 1
+    change[starts + sizes] -= 1
+    out = np.append(data, np.uint8(32))
+    out[_SPACE[out]] = 32
+    return out[np.cumsum(change[:-1], dtype=np.int8) > 0], first[:-1], first[before]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
