@@ -186,6 +186,49 @@ def test_two_short_runs_with_other_words_between_them_are_no_passage(spark):
     assert substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
+def test_repeats_in_periodic_texts_are_all_cut(spark):
+    rng = random.Random(29)
+    rows = []
+
+    def text(words):  # in lines of under 50 words, so that no line is compared as a whole
+        return "\n".join(" ".join(words[i : i + 40]) for i in range(0, len(words), 40))
+
+    for pair in range(160):
+        period = 1 + pair % 23
+        beat = [f"beat{pair}x{i}" for i in range(period)]
+        passage = (beat * 80)[: rng.randrange(50, 75)]
+        if pair % 3 == 0:  # the passage runs on beyond the periodic words
+            passage = passage[: rng.randrange(20, 45)] + prose(rng, 40)
+        if pair % 3 == 1:
+            passage = prose(rng, 40) + passage[: rng.randrange(20, 45)]
+        for side in range(2):
+            before = prose(rng, rng.randrange(0, 30)) + (beat * 9)[rng.randrange(period) :][: rng.randrange(0, 60)] + [f"own{pair}x{side}"]
+            after = [f"end{pair}x{side}"] + (beat * 9)[rng.randrange(period) :][: rng.randrange(0, 60)] + prose(rng, rng.randrange(0, 30))
+            rows.append((2 * pair + side, before + passage + after))
+    expected = brute.without_windows([(i, " ".join(w)) for i, w in rows])
+    docs = spark.createDataFrame([(i, text(w)) for i, w in rows], "doc_id long, text string")
+    left = {r.doc_id: r.text.split() for r in substring_dedup.without_repeats(docs).collect()}
+    assert [left.get(i, []) for i, _ in rows] == expected and sum(len(w) > len(e) for (_, w), e in zip(rows, expected, strict=True)) >= 150
+    found = substring_dedup.repeats(docs).collect()
+    assert all(r.likeness == 1 and r.cluster is not None for r in found)
+
+
+def test_a_chain_of_lines_tells_its_likeness(spark):
+    rng = random.Random(31)
+    lines = [prose(rng, 80)]
+    for k in range(6):  # each is like the one before it
+        w = list(lines[-1])
+        for at in range(k * 12, k * 12 + 4):
+            w[at] = f"new{k}x{at}"
+        lines.append(w)
+    texts = [" ".join(w) for w in lines]
+    found = {r.doc_id: r for r in substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.n_words == 80}
+    sets = [grams(t) for t in texts]
+    likeness = [len(a & sets[0]) / len(a | sets[0]) for a in sets]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets, sets[1:], strict=False)) and likeness[6] < 0.5
+    assert set(found) == set(range(1, 7)) and all(r.kept_id == 0 and abs(r.likeness - likeness[i]) < 1e-9 for i, r in found.items())
+
+
 @pytest.mark.parametrize("others", [200, 2000])
 def test_pairs_of_lines_in_crowded_buckets_are_found(spark, others):
     texts = boilerplate(random.Random(others), others, 200)
@@ -296,7 +339,9 @@ def test_an_item_more_changes_no_other_items_leaks(spark):
     assert alone and [r for r in both if r[1] == 1] == alone and len(both) == 8
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [1 << 19, 0])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr("tidemill.llm.components.TASK_EDGES", in_one_task)
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, None)]
     group = {x: x for p in pairs if None not in p for x in p}

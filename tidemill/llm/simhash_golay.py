@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.components import components
+from tidemill.llm.components import components, joined_labels
 from tidemill.llm.storage import Scratch, sized
 from tidemill.llm.words import _LOWER, bound_batches, bounds, joined, releasing, releasing_table, slices
 
@@ -160,15 +160,7 @@ def _least(prints: np.ndarray, left: slice, right: slice, bits: int) -> np.ndarr
     height = max(1, (1 << 21) // (right.stop - right.start))
     for k in range(left.start, left.stop, height):
         a, b = np.nonzero(np.bitwise_count(prints[k : min(k + height, left.stop), None] ^ prints[None, right]) <= bits)
-        a, b = a + k, b + right.start
-        while True:  # of two linked components the greater one's least print follows the other's
-            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            apart = low < high
-            if not apart.any():
-                break
-            np.minimum.at(label, high[apart], low[apart])
-            while (label != label[label]).any():
-                label = label[label]
+        label = joined_labels(label, a + k, b + right.start)
     return label
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +11,43 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Of a table's rows, by their columns' number, their strings' bytes and their arrays' entries (of a few numbers each).
 BROADCAST_BYTES = 32_000_000
+#: Of a working table's row groups, which a task that writes one gathers in memory.
+ROW_GROUP_BYTES = 16_000_000
 
-_own: dict[str, str] = {}
+#: The folders of each application's results.
+_results: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Where it is unset, only a local session gets a temporary folder: on a cluster the
-    executors would not see it, so that is an error.
+    Where it is unset, only a local session gets one, in its warehouse: on a cluster the
+    executors might not see it, so that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemill-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, path = _files(spark, path)
+    files.delete(path, True)
+
+
+def close(spark: SparkSession) -> None:
+    """Deletes the results that operators have given so far; their DataFrames can't be read any more. Without it they go when the application ends."""
+    for folder in _results.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, folder)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """df, a written table or columns of one, marked for broadcast if its rows take at most BROADCAST_BYTES; beyond that Spark joins it by a shuffle, unless it knows better."""
     wide = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))] + [48 * F.size(f.name) for f in df.schema if isinstance(f.dataType, ArrayType)]
@@ -56,23 +74,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
+        self.kept = False
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        self._delete(f"{self.folder}/work")
-
-    def _files(self, path: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _delete(self, path: str) -> None:
-        files, path = self._files(path)
-        files.delete(path, True)
+        _delete(self.spark, f"{self.folder}/work" if self.kept else self.folder)
 
     def _table(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((found, path))
         return found
@@ -83,10 +94,14 @@ class Scratch:
 
     def result(self, df: DataFrame) -> DataFrame:
         """df as a Parquet table that outlives the call."""
-        files, path = self._files(self.folder)
+        found = self._table(df, f"{self.folder}/result")
+        self.kept = True
+        # The folder is there by now; of one that isn't, Hadoop would take no note.
+        files, path = _files(self.spark, self.folder if self.spark.conf.get("spark.checkpoint.dir", None) else shared_dir(self.spark))
         files.deleteOnExit(path)
-        return self._table(df, f"{self.folder}/result")
+        _results.setdefault(self.spark.sparkContext.applicationId, []).append(self.folder)
+        return found
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that written gave and nothing will read again."""
-        self._delete(next(path for table, path in self.tables if table is df))
+        _delete(self.spark, next(path for table, path in self.tables if table is df))

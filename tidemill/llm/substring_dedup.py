@@ -12,10 +12,13 @@ equal or verified paragraphs are clusters. Each bucket's least member is compare
 that leaves the others in several clusters, they are joined by finer bands, those of the n-gram join. A cluster's first paragraph, by document id and place, is
 kept. Around paragraphs that another text has with the same words on one side, every window of MIN_WORDS words is
 compared by a hash of all its words: each goes that an earlier text has too, and windows that overlap or touch make one passage.
-A line goes whose verified like comes earlier. Equal texts are compared once: of a text of MIN_WORDS words
-or more, all rows go but those of the least id. As each removed passage has its like before it, one copy always stays.
+Equal texts are compared once: of a text of MIN_WORDS words or more, all rows go but those of the least id. Each window that goes
+has its equal in an earlier text. Of a cluster of lines all go but the first text's; as clusters are components, a line can hang
+on that one by a chain of lines alone, so its own likeness to it, which is returned, can be under THRESHOLD.
 
-Recall: equal passages of MIN_WORDS words are always met. Lines at the threshold share a band with probability RECALL and
+Recall: equal passages of MIN_WORDS words are always met. A window's least shingle begins a paragraph wherever the window stands, each time
+that it comes. In periodic text such paragraphs are many but equal; those of a text that have the same words, and the same on both
+sides, are one row in Spark, and all their places are found again in the text. Lines at the threshold share a band with probability RECALL and
 one of the finer bands, if they need them, with that of the n-gram join; of 200 pairs of Jaccard 0.84 whose lines share
 40 words with 200 and 2,000 others, the tests ask for at least RECALL less two in a hundred.
 
@@ -103,9 +106,7 @@ class Paragraphs:
         low = sliding(flat, SPACING, np.minimum)
         inside = at[(local + SPACING <= np.repeat(places, places)) | (local == 0)]
         least[inside] = low[inside]
-        chosen = sliding(least, SPACING, np.maximum)[at - SPACING + 1] == flat[at]
-        chosen[1:] &= (flat[at[1:]] != flat[at[1:] - 1]) | (local[1:] % PARAGRAPH == 0)  # a run of one word repeated has fewer
-        return word[chosen], PARAGRAPH
+        return word[sliding(least, SPACING, np.maximum)[at - SPACING + 1] == flat[at]], PARAGRAPH
 
     def _lines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, _ = raw(texts)
@@ -118,12 +119,29 @@ class Paragraphs:
         """Hashes of the words from start to stop."""
         return mix((self.sums[stop] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start] + (stop - start).astype(np.uint64))
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes of each content-defined paragraph, and of each line."""
-        k = self.n_content
-        content, lines = np.zeros((k, BANDS), dtype=np.uint64), np.zeros((len(self.start) - k, LINE_BANDS), dtype=np.uint64)
-        part = np.stack([self.grams[self.start[:k] + i] for i in range(PARAGRAPH - SHINGLE + 1)]) if k else None
-        ends = np.stack((self.start[k:], self.start[k:] + self.size[k:] - SHINGLE + 1), axis=1).ravel()
+    def own_keys(self) -> np.ndarray:
+        return self.keys(self.start, self.start + self.size)
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each text's paragraphs that have the same words and the same beside them, in ascending order; and for each paragraph the place of its first in that list."""
+        kind = self.own_keys() + (np.arange(len(self.start)) >= self.n_content)
+        for side in (True, False):
+            key = self.beside(side)
+            kind = mix(kind + mix(key.fill_null(0).to_numpy().view(np.uint64) + np.uint64(side)) + key.is_null().to_numpy(False))
+        order = np.lexsort((self.start, kind, self.owner))
+        new = np.append(True, (np.diff(self.owner[order]) != 0) | (kind[order][1:] != kind[order][:-1]))[: len(order)]
+        first = np.sort(order[new])
+        number = np.zeros(len(order), dtype=np.int64)
+        number[order] = np.searchsorted(first, order[new])[np.cumsum(new) - 1]
+        return first, number
+
+    def bands(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band hashes of the content-defined paragraphs, and of the lines, in the ascending list which."""
+        k = int(np.searchsorted(which, self.n_content))
+        start, size = self.start[which], self.size[which]
+        content, lines = np.zeros((k, BANDS), dtype=np.uint64), np.zeros((len(start) - k, LINE_BANDS), dtype=np.uint64)
+        part = np.stack([self.grams[start[:k] + i] for i in range(PARAGRAPH - SHINGLE + 1)]) if k else None
+        ends = np.stack((start[k:], start[k:] + size[k:] - SHINGLE + 1), axis=1).ravel()
         padded = np.append(self.grams, _MOST)
         for i, factor in enumerate(_factors(LINE_BANDS * ROWS)):
             band = i // ROWS
@@ -159,8 +177,10 @@ def _mapped(rows: DataFrame, one, schema: str) -> DataFrame:
 def _banded(part: pa.RecordBatch) -> pa.RecordBatch:
     """The different band hashes of each text."""
     found = Paragraphs(part.column("text"))
-    content, lines = found.bands()
-    owner = np.concatenate((np.repeat(found.owner[: len(content)], BANDS), np.repeat(found.owner[len(content) :], LINE_BANDS)))
+    first, _ = found.kinds()
+    content, lines = found.bands(first)
+    owner = found.owner[first]
+    owner = np.concatenate((np.repeat(owner[: len(content)], BANDS), np.repeat(owner[len(content) :], LINE_BANDS)))
     t, hashes = part.column("t").to_numpy()[owner], np.concatenate((content.ravel(), lines.ravel()))
     order = np.lexsort((hashes, t))
     t, hashes = t[order], hashes[order]
@@ -187,15 +207,12 @@ def _filter(buckets: DataFrame) -> np.ndarray:
 
 
 def _listed(part: pa.RecordBatch, filtered: np.ndarray) -> pa.RecordBatch:
-    """Each paragraph with those of its band hashes that the filter lets pass; of equal ones in a text, one for each PARAGRAPH words."""
+    """Each paragraph, the first of its kind in its text, with those of its band hashes that the filter lets pass."""
     found = Paragraphs(part.column("text"))
-    keys = found.keys(found.start, found.start + found.size)
-    at = (found.start - found.before[found.owner]) // PARAGRAPH
-    order = np.lexsort((found.start, at, keys, found.owner))
-    again = (np.diff(found.owner[order]) == 0) & (keys[order][1:] == keys[order][:-1]) & (np.diff(at[order]) == 0)
-    first = np.sort(order[~np.append(False, again)[: len(order)]])
-    content, lines = found.bands()
-    bands = np.concatenate((np.pad(content, ((0, 0), (0, LINE_BANDS - BANDS))), lines))[first]
+    first, _ = found.kinds()
+    keys = found.own_keys()
+    content, lines = found.bands(first)
+    bands = np.concatenate((np.pad(content, ((0, 0), (0, LINE_BANDS - BANDS))), lines))
     bit = bands & np.uint64(FILTER_BITS - 1)
     passes = (filtered[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
     passes[first < len(content), BANDS:] = False
@@ -225,32 +242,43 @@ def _sets(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """The different windows of MIN_WORDS words that hold a paragraph that is asked for: text, its first id, first word and a hash of the words."""
+    """The different windows of MIN_WORDS words that hold a paragraph of a kind that is asked for: text, its first id, first word, a hash of the words, and the least cluster of such paragraphs."""
     found = Paragraphs(part.column("text"))
     row, asked = _flat(part, "asked")
-    place = found.before[row] + asked.field("place").to_numpy()
-    low = np.maximum(place - (MIN_WORDS - PARAGRAPH), found.before[row])
-    high = np.minimum(place, found.before[row + 1] - MIN_WORDS)
-    change = np.zeros(len(found.hashes) + 2, dtype=np.int64)
-    some = high >= low
-    np.add.at(change, low[some], 1)
-    np.add.at(change, high[some] + 1, -1)
-    start = np.flatnonzero(np.cumsum(change))
+    first, number = found.kinds()
+    most = np.iinfo(np.int64).max
+    cluster = np.full(len(first), most)
+    wanted = found.start[: found.n_content].searchsorted(found.before[row] + asked.field("place").to_numpy())
+    np.minimum.at(cluster, number[wanted], asked.field("cluster").to_numpy())
+    cluster = cluster[number[: found.n_content]]
+    n = len(found.hashes)
+    at = np.full(n + MIN_WORDS - PARAGRAPH + 1, most)
+    at[found.start[: found.n_content]] = cluster
+    least = sliding(at, MIN_WORDS - PARAGRAPH + 1, np.minimum)[:n]
+    start = np.flatnonzero(least < most)
     owner = np.searchsorted(found.before, start, side="right") - 1
+    inside = start + MIN_WORDS <= found.before[owner + 1]
+    start, owner = start[inside], owner[inside]
     key = found.keys(start, start + MIN_WORDS)
-    return pa.RecordBatch.from_arrays([part.column("t").take(pa.array(owner)), part.column("first_id").take(pa.array(owner)), pa.array((start - found.before[owner]).astype(np.int32)), pa.array(key.view(np.int64))], ["t", "first_id", "place", "window"])
+    return pa.RecordBatch.from_arrays([part.column("t").take(pa.array(owner)), part.column("first_id").take(pa.array(owner)), pa.array((start - found.before[owner]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(least[start])], ["t", "first_id", "place", "window", "cluster"])
 
 
 @releasing
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets have a Jaccard similarity of at least THRESHOLD."""
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs with the Jaccard similarity of their sets."""
     for batch in batches:
-        keep = []
+        found = []
         for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found.append(both / (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b, keys of sets, and their likeness."""
+    sides = [sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_likeness, "a long, b long, likeness double")
 
 
 @releasing
@@ -275,19 +303,16 @@ def _text_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _clusters(texts: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
-    """key and cluster of the paragraphs that are verified to be like another one that differs."""
+def _clusters(texts: DataFrame, hits: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """key and cluster of the paragraphs that are verified to be like another one that differs; key and set of all that were compared."""
     collided = hits.select("hash", "key").distinct()
     least = collided.groupBy("hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
     members = scratch.written(collided.join(least, "hash").select("hash", "key", "least"), "members")
     pairs = scratch.written(members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return pairs.selectExpr("a as key", "b as cluster")
-    wanted = scratch.written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     place = hits.join(sized(wanted), "key", "left_semi").groupBy("key").agg(F.min(F.struct("t", "place", "n")).alias("p"))
     sets = scratch.written(_mapped(_asked(texts, place.select("p.t", "p.place", "p.n", "key"), scratch), _sets, "key long, set binary"), "sets")
-    sides = [sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
-    edges = scratch.written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long"), "alike")
+    edges = scratch.written(_compared(pairs, sets).where(F.col("likeness") >= THRESHOLD - 1e-9).select("a", "b"), "alike")
     so_far = components(edges, into=scratch).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
     # Where a bucket's other keys are not in one cluster by now, they are joined as the n-gram join does it, by finer bands.
     others = members.where("key <> least").join(so_far, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
@@ -295,15 +320,17 @@ def _clusters(texts: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     open_ones = others.groupBy("hash").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("hash")
     open_keys = others.join(open_ones, "hash").select("key").distinct()
     signed = scratch.written(sets.join(open_keys, "key", "left_semi").mapInArrow(_signed, "key long, copies long, grams long, bands array<long>"), "signed")
+    if signed.isEmpty():
+        return so_far, sets
     more = linked_within(bucketed(signed, scratch), sets, THRESHOLD).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    edges = edges.union(scratch.written(more, "more-alike"))
-    return components(edges, into=scratch).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    return components(edges.union(more), into=scratch).select(F.col("node").alias("key"), F.col("component").alias("cluster")), sets
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each passage to be removed: id, text_id (the text's hash), first_word, n_words, cluster, kept_id (whose text keeps it).
+    """One row for each passage to be removed: id, text_id (the text's hash), first_word, n_words, cluster, kept_id (whose text keeps it), likeness (a line's Jaccard similarity to the kept one; 1 for equal words).
 
-    Passages of a document can overlap. A document of which an equal one stays has one passage, its whole text.
+    Passages of a document can overlap. A document of which an equal one stays has one passage, its whole text. A passage is named by
+    the least cluster among the paragraphs for which its text follows the kept one at the same distance.
     """
     bound_batches(docs.sparkSession)
     with Scratch(docs.sparkSession, "passages") as scratch:
@@ -321,9 +348,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     hits = listed.select("t", "place", "n", "key", "ahead", "behind", F.explode("bands").alias("hash")).join(buckets, "hash")
     hits = scratch.written(hits, "hits")
     first = scratch.written(own.groupBy("t").agg(F.min(F.struct("id"))["id"].alias("first_id"), F.count("*").alias("rows")), "texts")
-    several = scratch.written(first.where("rows > 1").select("t", "first_id"), "several")
+    several = first.where("rows > 1").select("t", "first_id")
     one_each = own.join(sized(several), "t", "left").where("first_id is null or id <=> first_id").select("t", "text", F.col("id").alias("first_id"))
-    clusters = _clusters(one_each, hits, scratch)
+    clusters, sets = _clusters(one_each, hits, scratch)
     found = hits.select("t", "place", "n", "key", "ahead", "behind").distinct().join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     found = scratch.written(found.join(first.select("t", "first_id"), "t"), "found")
     scratch.drop(hits)
@@ -331,8 +358,11 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     # Of lines in one cluster, all but the first text's go.
     is_line = F.col("n") != PARAGRAPH
     lines = found.where(is_line)
-    leaders = lines.groupBy("cluster").agg(F.min(F.struct("first_id", "t", "place")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("cluster", "lead")
-    lines = lines.join(leaders, "cluster").where(F.col("t") != F.col("lead.t")).select("t", "first_id", F.col("place").alias("first_word"), F.col("n").alias("n_words"), "cluster", F.col("lead.first_id").alias("kept_id"))
+    leaders = lines.groupBy("cluster").agg(F.min(F.struct("first_id", "t", "place", "key")).alias("lead"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("cluster", "lead")
+    lines = lines.join(leaders, "cluster").where(F.col("t") != F.col("lead.t")).select("t", "first_id", F.col("place").alias("first_word"), F.col("n").alias("n_words"), "cluster", F.col("lead.first_id").alias("kept_id"), F.col("key").alias("a"), F.col("lead.key").alias("b"))
+    lines = scratch.written(lines, "lines")
+    likeness = _compared(lines.where("a <> b").select("a", "b").distinct(), sets)
+    lines = lines.join(likeness, ["a", "b"], "left").withColumn("likeness", F.coalesce("likeness", F.lit(1.0))).drop("a", "b")
 
     # A paragraph can be in a shared window only if another text has it with the same words on one side.
     sides = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(i), "key", c)) for i, c in enumerate(("ahead", "behind"))]))).alias("group")
@@ -342,7 +372,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     followed = scratch.written(grouped.join(shared_groups, "group").select("t", "place", "cluster").distinct(), "followed")
 
     # Of texts with the same window of MIN_WORDS words, all but the first lose it.
-    windows = _mapped(_asked(one_each, followed.select("t", "place"), scratch), _windows, f"t long, first_id {own.schema['id'].dataType.simpleString()}, place int, window long")
+    windows = _mapped(_asked(one_each, followed, scratch), _windows, f"t long, first_id {own.schema['id'].dataType.simpleString()}, place int, window long, cluster long")
     windows = scratch.written(windows, "windows")
     spread = windows.groupBy("window").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window")
     several_have = scratch.written(windows.join(scratch.written(spread, "spread"), "window"), "shared")
@@ -351,19 +381,16 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     led = several_have.join(leaders, "window").where(F.col("t") != F.col("lead.t"))
 
     # Windows at the same distance from those of the same text that overlap or touch are one passage.
-    led = led.groupBy("t", "first_id", F.col("lead.t").alias("lead_t"), F.col("lead.first_id").alias("kept_id"), (F.col("place") - F.col("lead.place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    led = led.groupBy("t", "first_id", F.col("lead.t").alias("lead_t"), F.col("lead.first_id").alias("kept_id"), (F.col("place") - F.col("lead.place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"), F.min("cluster").alias("cluster"))
     starts = F.filter("places", lambda p, i: (i == 0) | (p - F.get("places", i - 1) > MIN_WORDS))
     stops = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.get("places", (i + 1).cast("int")) - p > MIN_WORDS))
-    runs = led.select("t", "first_id", "kept_id", F.explode(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))).alias("c"))
-    runs = scratch.written(runs.select("t", "first_id", "kept_id", F.col("c.start").alias("first_word"), (F.col("c.stop") - F.col("c.start") + MIN_WORDS).alias("n_words")).distinct(), "runs")
-    # A passage is named by the least cluster among the paragraphs in it.
-    own_places = followed.groupBy("t").agg(F.collect_set(F.struct("place", "cluster")).alias("paragraphs"))
-    inside = F.filter("paragraphs", lambda p: (p["place"] >= F.col("first_word")) & (p["place"] + PARAGRAPH <= F.col("first_word") + F.col("n_words")))
-    runs = runs.join(own_places, "t").withColumn("cluster", F.array_min(F.transform(inside, lambda p: p["cluster"])))
-    passages = runs.select(*lines.columns).unionByName(lines).distinct().select(F.col("first_id").alias("id"), F.col("t").alias("text_id"), "first_word", "n_words", "cluster", "kept_id")
+    runs = led.select("t", "first_id", "kept_id", "cluster", F.explode(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))).alias("c"))
+    runs = runs.select("t", "first_id", F.col("c.start").alias("first_word"), (F.col("c.stop") - F.col("c.start") + MIN_WORDS).alias("n_words"), "cluster", "kept_id", F.lit(1.0).alias("likeness"))
+    passages = runs.unionByName(lines).groupBy("t", "first_id", "first_word", "n_words", "kept_id").agg(F.min("cluster").alias("cluster"), F.max("likeness").alias("likeness"))
+    passages = passages.select(F.col("first_id").alias("id"), F.col("t").alias("text_id"), "first_word", "n_words", "cluster", "kept_id", "likeness")
 
     copies = own.join(sized(several), "t").where("not (id <=> first_id)")
-    copies = copies.select("id", F.col("t").alias("text_id"), F.lit(0).alias("first_word"), n_words.alias("n_words"), F.col("t").alias("cluster"), F.col("first_id").alias("kept_id")).where(F.col("n_words") >= MIN_WORDS)
+    copies = copies.select("id", F.col("t").alias("text_id"), F.lit(0).alias("first_word"), n_words.alias("n_words"), F.col("t").alias("cluster"), F.col("first_id").alias("kept_id"), F.lit(1.0).alias("likeness")).where(F.col("n_words") >= MIN_WORDS)
     return passages.unionByName(copies.distinct()).withColumnRenamed("id", id_col)
 
 
