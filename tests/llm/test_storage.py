@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from tidemill.llm import ngram_join, storage, substring_dedup
 build = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[1] + "/warehouse")
-spark = (build.config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/shared") if sys.argv[2] == "set" else build).getOrCreate()
+spark = build.config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/shared" if sys.argv[2] == "set" else "").getOrCreate()
 words = [f"w{i}" for i in range(80)]
 docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words])), (3, "other")], "doc_id long, text string")
 first = ngram_join.first_of_each_group(docs)

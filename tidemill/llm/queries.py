@@ -59,8 +59,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(url_filter.labelled(), "url string, label string")
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.train_from_table(labelled), url_filter.RULES)
+    labelled = spark.createDataFrame(url_filter.labelled_groups(), "url string, label string, word_group string")
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.model_from_table(labelled, group="word_group"), url_filter.RULES)
 
 
 def op11_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
