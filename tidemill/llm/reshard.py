@@ -1,106 +1,84 @@
 """Resharding by minimum-cost flow: equal row counts in the new shards, fewest bytes moved.
 
-Each old shard is cut into blocks, rows of like size. A block's rows may stay in the shard of
-the same number at no cost, or move at the block's mean bytes per row; every new shard takes
-the row count that the law asks for. The flow that costs least says how many rows of each
-block stay, leave and arrive; since only blocks (old shards times size classes) enter it, its
-size does not depend on the rows. Rows then find their place by a running count of chunks, which Spark makes
-in windows, so no task sees a whole shard and the driver no rows.
-
-Which rows of a block leave is not chosen by their sizes: a block's sizes differ by a factor of 2 ** (1 / CLASSES_PER_DOUBLING)
-at most, 1.42, so the bytes moved are at most 1.42 times the fewest possible; tests compare them with those.
-
-Defined results: a null text has no bytes and CRC-32 0; a null old shard counts as shard 0;
-repeated rows are rows of their own; an empty table gives an empty table; only the named columns are read.
+A row may stay in the shard of the same number at no cost, or move at its bytes; every new shard takes the row
+count that the law asks for. Each old shard is cut into three blocks: rows smaller than its marginal size, rows of that size, and
+larger ones. The marginal size is that of the last row which may have to go, and Spark finds it: from counts by size class,
+then, in the one class where it lies, from counts by size. Rows of one block that the flow splits are equally large, so the flow of
+rows between blocks is the flow of fewest bytes between rows, whatever rows of the block go.
+
+All moves pass through one hub, from any block that gives rows to any shard that lacks them. So a shortest augmenting path
+always takes the smallest block that is left of any shard with too many rows, and no graph need be searched (solve); tests compare
+it with successive shortest paths over the whole network. The driver holds three rows for each old shard. Rows then find
+their place by a running count of chunks, which Spark makes in windows, so no task sees a whole shard and the driver no rows.
+
+Defined results: a null text has no bytes and CRC-32 0; a null old shard counts as shard 0; of rows of the marginal size any may go, by id,
+CRC-32 and place; repeated rows, and rows without an id, are rows of their own, also when files are rewritten; an
+empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.storage import Scratch
+from tidemill.llm.storage import Scratch, unused
 
 #: Size classes in each doubling of the size.
 CLASSES_PER_DOUBLING = 2
 #: Rows that are numbered together, about.
 CHUNK_ROWS = 2_000
-
-
-def min_cost_flow(nodes: int, arcs: Sequence[tuple[int, int, int, float]], source: int, sink: int) -> tuple[list[int], int]:
-    """Flow on each arc (from, to, capacity, cost at least 0) of a greatest flow that costs least, and its amount.
-
-    Successive shortest paths with node potentials.
-    """
-    graph: list[list[int]] = [[] for _ in range(nodes)]
-    to, left, cost = [], [], []
-    for a, b, capacity, price in arcs:
-        for start, end, room, c in ((a, b, capacity, price), (b, a, 0, -price)):
-            graph[start].append(len(to))
-            to.append(end), left.append(room), cost.append(c)
-    potential, total = [0.0] * nodes, 0
-    while True:
-        distance, by = [math.inf] * nodes, [-1] * nodes
-        distance[source] = 0.0
-        heap = [(0.0, source)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > distance[a]:
-                continue
-            for k in graph[a]:
-                reach = d + max(0.0, cost[k] + potential[a] - potential[to[k]])
-                if left[k] and reach < distance[to[k]] - 1e-9:
-                    distance[to[k]], by[to[k]] = reach, k
-                    heapq.heappush(heap, (reach, to[k]))
-        if distance[sink] == math.inf:
-            return [left[2 * i + 1] for i in range(len(arcs))], total
-        potential = [p + d if d < math.inf else p for p, d in zip(potential, distance, strict=True)]
-        path, at = [], sink
-        while at != source:
-            path.append(by[at])
-            at = to[by[at] ^ 1]
-        amount = min(left[k] for k in path)
-        for k in path:
-            left[k] -= amount
-            left[k ^ 1] += amount
-        total += amount
+#: Bytes of texts in a rewritten file, about.
+FILE_BYTES = 128_000_000
 
 
 def solve(blocks: Sequence[tuple[int, int, int, float]], shards: int) -> tuple[dict[tuple[int, int], int], dict[int, list[tuple[int, int]]]]:
     """blocks: (old shard, class, rows, mean bytes). Returns the rows that leave each block, and for each old shard the (new shard, rows) that its leaving rows go to.
 
-    Every new shard gets floor or ceil of the mean number of rows. All moves of a row cost the same,
-    so they pass through one node between the blocks and the new shards.
+    Every new shard gets floor or ceil of the mean number of rows. The flow of least cost: over the hub each shard with too many rows
+    sends its smallest, block by block, and each that lacks rows gets them. The places above the floor, one a shard, go where they save most: to
+    the shards whose last row to go is the largest; those left over, to the first others.
     """
-    total = sum(rows for *_, rows, _ in blocks)
-    least, more = divmod(total, shards)
-    source, sink, hub, first = 0, 1, 2, 3
-    nodes = first + shards + len(blocks)
-    dear = 2.0 * max([1.0, *(mean for *_, mean in blocks)])  # keeps a shard from a row more while another lacks one
-    arcs: list[tuple[int, int, int, float]] = []
-    for i, (old, _, rows, mean) in enumerate(blocks):
-        block = first + shards + i
-        arcs.append((source, block, rows, 0.0))
-        if old < shards:
-            arcs.append((block, first + old, rows, 0.0))
-        arcs.append((block, hub, rows, mean))
-    for shard in range(shards):
-        arcs += [(hub, first + shard, total, 0.0), (first + shard, sink, least, 0.0)]
-        if more:
-            arcs.append((first + shard, sink, 1, dear))
-    flow, _ = min_cost_flow(nodes, arcs, source, sink)
-    leaving = {(blocks[a - first - shards][0], blocks[a - first - shards][1]): f for (a, b, _, _), f in zip(arcs, flow, strict=True) if b == hub and f}
-    arriving = [[b - first, f] for (a, b, _, _), f in zip(arcs, flow, strict=True) if a == hub and f]
+    least, more = divmod(sum(rows for *_, rows, _ in blocks), shards)
+    own: dict[int, list[tuple[float, int, int]]] = {}
+    for old, kind, rows, mean in blocks:
+        own.setdefault(old, []).append((mean, kind, rows))
+    surplus: dict[int, int] = {}
+    saved = []
+    for old, parts in own.items():
+        parts.sort()
+        n = surplus[old] = max(0, sum(rows for *_, rows in parts) - (least if old < shards else 0))
+        if n and old < shards:
+            before = 0
+            for mean, _, rows in parts:
+                before += rows
+                if before >= n:
+                    saved.append((-mean, old))
+                    break
+    room = {shard: max(0, least - sum(rows for *_, rows in own.get(shard, []))) for shard in range(shards)}
+    stay = [old for _, old in sorted(saved)[:more]]
+    for old in stay:
+        surplus[old] -= 1
+    kept = set(stay)
+    others = (s for s in range(shards) if s not in kept and not surplus.get(s))
+    for _ in range(more - len(stay)):
+        room[next(others)] += 1
+    leaving = {}
+    for old, parts in own.items():
+        left = surplus[old]
+        for _, kind, rows in parts:
+            if gone := min(rows, left):
+                leaving[old, kind] = gone
+                left -= gone
+    arriving = [[shard, n] for shard, n in room.items() if n]
     moves: dict[int, list[tuple[int, int]]] = {}
-    for (old, _), rows in sorted(leaving.items()):
-        while rows:
-            amount = min(rows, arriving[-1][1])
+    for old in sorted(own):
+        while surplus[old]:
+            amount = min(surplus[old], arriving[-1][1])
             moves.setdefault(old, []).append((arriving[-1][0], amount))
-            rows -= amount
+            surplus[old] -= amount
             arriving[-1][1] -= amount
             if not arriving[-1][1]:
                 arriving.pop()
@@ -124,21 +102,48 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, id_col: str =
     """id, size, text_crc32, law, shard, slot, grown_shard and old_shard of every row of docs.
 
     size: UTF-8 bytes of the text and 1. law: rows, so the shards' row counts differ by one at most.
-    The driver handles one row per block, that is per old shard and size class.
     """
     with Scratch(docs.sparkSession, "reshard") as scratch:
         return scratch.result(_resharded(docs, old_shard, shards, id_col, text_col, scratch))
 
 
+def _marginal_sizes(rows: DataFrame, shards: int) -> dict[int, int]:
+    """For each old shard that can have too many rows the size of the largest of its smallest that may have to go."""
+    classes: dict[int, list[tuple[int, int]]] = {}
+    for old, kind, n in rows.groupBy("old", "class").count().collect():
+        classes.setdefault(old, []).append((kind, n))
+    least = sum(n for parts in classes.values() for _, n in parts) // shards
+    asked = []
+    for old, parts in classes.items():
+        gone = sum(n for _, n in parts) - least
+        if old < shards and gone > 0:
+            for kind, n in sorted(parts):
+                if gone <= n:
+                    asked.append((old, kind, gone))
+                    break
+                gone -= n
+    if not asked:
+        return {}
+    asked = F.broadcast(rows.sparkSession.createDataFrame(asked, "old int, class int, gone long"))
+    # A class holds no more sizes than bytes, however many its rows.
+    counts = rows.join(asked, ["old", "class"]).groupBy("old", "gone", "size").count()
+    reached = F.sum("count").over(Window.partitionBy("old").orderBy("size"))
+    found = counts.withColumn("reached", reached).where("reached >= gone").groupBy("old").agg(F.min("size"))
+    return {old: size for old, size in found.collect()}
+
+
 def _resharded(docs: DataFrame, old_shard: Column, shards: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     size = F.octet_length(text).cast("long") + 1
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("crc"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"))
     rows = scratch.written(rows.withColumn("class", F.floor(F.log2("size") * CLASSES_PER_DOUBLING).cast("int")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    marginal = F.broadcast(spark.createDataFrame(list(_marginal_sizes(rows, shards).items()), "old int, marginal long"))
+    rows = rows.join(marginal, "old", "left").withColumn("class", F.coalesce(F.signum(F.col("size") - F.col("marginal")).cast("int"), F.lit(0))).drop("marginal")
     blocks = sorted(tuple(r) for r in rows.groupBy("old", "class").agg(F.count("*"), F.avg("size")).collect())
     leaving, moves = solve(blocks, shards)
 
-    # The first rows of a block leave; where to, their count over the old shard's blocks tells.
+    # So many of a block's rows leave; where to, their count over the old shard's blocks tells.
     before: dict[int, int] = {}
     known = []
     for old, kind, n, _ in blocks:
@@ -151,7 +156,6 @@ def _resharded(docs: DataFrame, old_shard: Column, shards: int, id_col: str, tex
         for shard, n in parts:
             end += n
             ends.append((old, shard, end))
-    spark = docs.sparkSession
     known_blocks = F.broadcast(spark.createDataFrame(known, "old int, class int, rows long, leave long, gone long"))
     targets = F.broadcast(spark.createDataFrame(ends, "old int, shard int, end long").groupBy("old").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("targets")))
     counted = rows.join(known_blocks, ["old", "class"]).withColumn("chunk", _chunk(F.ceil(F.col("rows") / CHUNK_ROWS), 1))
@@ -167,12 +171,55 @@ def _resharded(docs: DataFrame, old_shard: Column, shards: int, id_col: str, tex
     )
 
 
-def rewrite_affected(docs: DataFrame, places: DataFrame, path: str, id_col: str = "doc_id") -> None:
+def rewrite_affected(docs: DataFrame, places: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the files of those shards that gain or lose rows, as shard=N folders under path; the files of other shards stay.
 
-    docs: the whole table, with a unique id, not read from path itself. places: what reshard gives.
+    docs: the whole table, not read from path itself. places: what reshard gives. A row finds its shard by its id, size and CRC-32;
+    where rows that agree in these are many or go to several shards, they are numbered on both sides, and so keep every row. A shard is
+    cut into files of about FILE_BYTES. A column of docs that is named shard gives way to the new one.
     """
-    moved = places.where("shard <> old_shard")
-    affected = moved.select("shard").union(moved.select("old_shard")).distinct()
-    rows = docs.join(places.join(F.broadcast(affected), "shard", "left_semi").select(id_col, "shard"), id_col)
-    rows.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    docs = docs.drop("shard")
+    of_id, of_size, of_crc, pieces, row = unused(docs, "of_id", "of_size", "of_crc", "pieces", "row")
+    text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8")
+    own = docs.withColumns({of_id: F.col(f"`{id_col}`"), of_size: F.octet_length(text).cast("long") + 1, of_crc: F.crc32(text)})
+    same = [of_id, of_size, of_crc]
+
+    def found(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        """left with the columns of right, whose columns for the key have an underscore more."""
+        fits = [left[c].eqNullSafe(right[f"{c}_"]) for c in (*same, *more)]
+        return left.join(right, fits).drop(*(f"{c}_" for c in (*same, *more)))
+
+    with Scratch(docs.sparkSession, "rewrite") as scratch:
+        moved = places.where("shard <> old_shard")
+        sizes = places.groupBy("shard").agg(F.ceil(F.sum("size") / FILE_BYTES).alias(pieces))
+        affected = scratch.written(moved.select("shard").union(moved.select("old_shard")).distinct().join(sizes, "shard"), "affected")
+        to = places.select(F.col(id_col).alias(f"{of_id}_"), F.col("size").alias(f"{of_size}_"), F.col("text_crc32").alias(f"{of_crc}_"), "shard")
+        kinds = to.groupBy(*(f"{c}_" for c in same)).agg(F.min("shard").alias("shard"), ((F.min("shard") != F.max("shard")) | (F.count("*") > CHUNK_ROWS)).alias("several"))
+        kinds = scratch.written(kinds, "kinds")
+        settled = found(own, kinds.where("not several").drop("several"))
+        # Rows that agree are numbered by their place in written tables.
+        several = kinds.where("several").drop("several", "shard")
+        mine = scratch.written(found(own, several).withColumn(row, F.monotonically_increasing_id()), "rows")
+        theirs = several.join(to.withColumnsRenamed({f"{c}_": c for c in same}), [several[f"{c}_"].eqNullSafe(F.col(c)) for c in same]).select(*same, "shard")
+        theirs = scratch.written(theirs.withColumn(row, F.monotonically_increasing_id()), "shards")
+        number, chunk = unused(mine, "number", "chunk")
+        counted = [_numbered_alike(t, same, row, number, chunk) for t in (mine, theirs)]
+        dealt = found(counted[0], counted[1].drop(row).withColumnsRenamed({c: f"{c}_" for c in (*same, number)}), number)
+        columns = [f"`{c}`" for c in (*docs.columns, "shard")]
+        rows = settled.select(*columns, of_crc, of_id, F.lit(0).cast("long").alias(number)).unionByName(dealt.select(*columns, of_crc, of_id, number))
+        rows = rows.join(F.broadcast(affected), "shard")
+        rows = rows.repartition("shard", F.pmod(F.xxhash64(of_id, of_crc, number), F.col(pieces))).select(*columns)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+
+def _numbered_alike(rows: DataFrame, keys: Sequence[str], row: str, name: str, chunk: str) -> DataFrame:
+    """rows, a written table, with one column more: the row's number among those with its keys, nulls being alike. Rows of a key are numbered in chunks of neighbours, so that no task sees them all."""
+    (before,) = unused(rows, "before")
+    rows = rows.withColumn(chunk, F.floor(F.col(row) / CHUNK_ROWS))
+    within = Window.partitionBy(*keys, chunk).orderBy(row)
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, chunk).agg(F.count("*").alias("rows"))
+    counts = counts.select(*(F.col(c).alias(f"{c}__") for c in (*keys, chunk)), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias(before))
+    fits = [rows[c].eqNullSafe(counts[f"{c}__"]) for c in (*keys, chunk)]
+    numbered = rows.join(counts, fits).withColumn(name, F.col(before) + F.row_number().over(within) - 1)
+    return numbered.drop(before, chunk, *(f"{c}__" for c in (*keys, chunk)))
