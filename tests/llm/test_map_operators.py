@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidemill.llm import byte_bpe, language_id, toxicity, url_filter
+from tidemill.llm import words as words_module
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [
@@ -124,6 +127,55 @@ def test_language_id_with_nothing_to_learn(spark, languages):
     assert language_id.keep_identified(languages, model).count() == 0
 
 
+def test_language_id_of_200_languages_learns_from_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(41)
+    monkeypatch.setattr(language_id, "ALL_ROWS", 2000)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(30)] for _ in range(200)]
+    rows = [(200 * k + i, " ".join(rng.choice(words[i]) for _ in range(40)), f"l{i:03}") for k in range(15) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sizes = []
+    monkeypatch.setattr(language_id, "fitted", lambda sample, fit: (sizes.append(sample.count()), words_module.fitted(sample, fit))[1])
+    model = language_id.train_from_table(docs, F.col("doc_id") < 2800)
+    assert len(model.languages) == 200 and 1500 < sizes[0] < 2300
+    found = language_id.predict(docs.where("doc_id >= 2800"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found) == 190
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_held_out_rows_of_the_test_tables(spark):
+    docs, held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), language_id.held_out("doc_id", 5, 0)
+    found = language_id.predict(docs, language_id.train_from_table(docs, ~held)).join(docs, "doc_id").where(held)
+    right, all_of_them, lost = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*"), F.count_if("rejected")).first()
+    assert right >= 0.99 * all_of_them and lost <= 0.02 * all_of_them
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))  # the smaller table has few toxic rows
+    severity = toxicity.grade(docs, toxicity.train_from_table(docs, labels.where(~held))).join(labels, "doc_id").where(held)
+    rows = severity.select(labels["toxic"].alias("label"), "severity").collect()
+    bad, good = ([r.severity for r in rows if r.label == k] for k in (1, 0))
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert area >= 0.95
+
+
+def test_severity_is_judged_by_features_of_other_folds():
+    rng = random.Random(43)
+    rows = [np.unique([rng.randrange(30, 400) for _ in range(12)] + [w for w in range(12) if k % 3 == 0 and rng.random() < 0.5]).astype(np.int32) for k in range(300)]
+    toxic = np.array([int(k % 3 == 0) for k in range(300)])
+    expected = []
+    for k, own in enumerate(rows):
+        others = [j for j in range(300) if j % 5 != k % 5]
+        bad = sum(toxic[j] for j in others)
+        telling = set()
+        for w in set(own.tolist()):
+            has = [j for j in others if w in rows[j]]
+            df, inside = len(has), sum(toxic[j] for j in has)
+            expect = df * bad / len(others)
+            spread = max(expect * (1 - bad / len(others)) * (1 - df / len(others)), 1e-9)
+            if df >= 3 and max(abs(inside - expect) - 0.5, 0) ** 2 / spread >= toxicity.CHI_SQUARED and inside * 2 > df:
+                telling.add(w)
+        expected.append((1 + (len(telling) > 2) + (len(telling) > 5)) if toxic[k] else 0)
+    assert toxicity.severity_grades(rows, toxic).tolist() == expected and len(set(expected)) == 4
+    assert toxicity.severity_grades([], np.zeros(0, np.int64)).tolist() == []
+
+
 def test_toxicity_separates_and_orders(spark):
     clean, bad = "a calm text about gardens number ", "a vile horrid text you scum "
     docs = spark.createDataFrame([(i, (bad if i % 3 == 0 else clean) + str(i % 7), 1) for i in range(150)] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, severity int")

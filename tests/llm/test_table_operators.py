@@ -12,6 +12,7 @@ from collections import Counter
 from itertools import combinations, product, zip_longest
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,7 +271,9 @@ def spelled(text):
     return b"\n" * 5 + b"".join(w.encode() + b" " for w in re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) + b"\n"
 
 
-def test_language_model_equals_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [16_000_000, 700])
+def test_language_model_equals_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_BYTES", block_bytes)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
     texts = [" ".join(rng.choice(vocabulary[: 10 + i % 30]) for _ in range(rng.randrange(60))) for i in range(60)] + [None, "", "zz unknown ÿ", None, ""]
@@ -294,6 +297,14 @@ def test_language_model_equals_brute_force(spark):
         assert math.isclose(r.tree_score, tree_score, rel_tol=1e-6) and math.isclose(r.score, score, rel_tol=1e-6) and r.train_tokens == n
 
 
+def test_keys_that_a_block_lacks_are_an_error():
+    known = np.array([2, 5, 9]), np.array([0.1, 0.2, 0.3])
+    assert suffix_tree_lm._looked_up(known, np.array([9, 2, 2])).tolist() == [0.3, 0.1, 0.1]
+    for keys in ([3], [10], [1]):
+        with pytest.raises(ValueError):
+            suffix_tree_lm._looked_up(known, np.array(keys))
+
+
 def test_probabilities_of_texts_sum_to_one_at_most(spark):
     letters = "ab"
     learn = [" ".join("".join(random.Random(i + k).choice(letters) for _ in range(2)) for k in range(i % 3)) for i in range(80)]

@@ -16,6 +16,7 @@ columns are read, so further columns never clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.storage import Scratch, sized
 from tidemill.llm.words import _LOWER, bound_batches, fitted, group_sum, raw, releasing, slices
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 WIDTH = 16
-#: Training takes about so many rows of each language at most, and none longer than so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
+#: Training takes about so many rows of each language at most, of all languages together so many, and none longer than so many characters.
+SAMPLE_ROWS, ALL_ROWS, SAMPLE_CHARS = 800, 6_000, 20_000
+LEAST_STEPS = 1000
 #: The share of held-back rows, correctly labelled, that calibrated rejection may lose.
 REJECTED_SHARE = 0.001
 
@@ -102,8 +105,13 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 20.0, batch: int = 32, seed: int = 7) -> Model:
-    """The model by mini-batch gradient descent on nine tenths of the rows; the rest fit temperature and threshold."""
+    """The model by mini-batch gradient descent on nine tenths of the rows; the rest fit temperature and threshold.
+
+    Few rows are gone through more often, for about LEAST_STEPS steps; of many languages each has fewer rows in a batch, so steps are longer.
+    """
     languages = sorted(set(labels))
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(labels) * 9 // (10 * batch)))))
+    rate *= math.sqrt(max(1.0, len(languages) / 4))
     y = np.searchsorted(languages, labels)
     rows = []
     for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
@@ -171,24 +179,25 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def train_from_table(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """The model from a sample of the usable rows with a language, about SAMPLE_ROWS of each at most, none longer than SAMPLE_CHARS; one task learns from it."""
+    """The model from a sample of the usable rows with a language, about SAMPLE_ROWS of each and ALL_ROWS in all at most, none longer than SAMPLE_CHARS; one task learns from it."""
     bound_batches(docs.sparkSession)
     rows = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    drawn = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    share = F.lit(0.0)
-    for r in drawn:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE_ROWS / r["n"])).otherwise(share)
-    # Drawn by a hash, so the same rows at each run; of repeated rows one is drawn.
-    sample = rows.where(F.col("draw").cast("double") < (share * 2.0 - 1.0) * F.lit(2.0**63)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
-
-    def fit(found: pa.Table | None) -> Model:
-        if found is None:
-            return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, dtype=bool))
-        found = found.sort_by([("draw", "ascending"), ("lang", "ascending")])
-        return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
-
-    return fitted(sample, fit)
+    with Scratch(docs.sparkSession, "languages") as scratch:
+        drawn = scratch.written(rows.groupBy("lang").agg(F.count("*").alias("n")), "drawn")
+        each = min(SAMPLE_ROWS, ALL_ROWS / max(1, drawn.count()))
+        share = drawn.select(F.col("lang").alias("of"), F.least(F.lit(1.0), each / F.col("n")).alias("share"))
+        # Drawn by a hash, so the same rows at each run; of repeated rows one is drawn.
+        below = F.col("draw").cast("double") < (F.col("share") * 2.0 - 1.0) * F.lit(2.0**63)
+        sample = rows.join(sized(share), F.col("lang") == F.col("of")).where(below).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+        return fitted(sample, _fit)
+
+
+def _fit(found: pa.Table | None) -> Model:
+    if found is None:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, dtype=bool))
+    found = found.sort_by([("draw", "ascending"), ("lang", "ascending")])
+    return train(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

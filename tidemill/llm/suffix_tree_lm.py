@@ -3,20 +3,22 @@
 A text is a row of tokens: its words, lower-cased, then one end. A word is spelled in symbols by its bytes and a
 space, the end by END. The tree's states are contexts, rows of up to DEPTH symbols of any length. A
 context is a state if its next-symbol distribution, smoothed towards that of its longest suffix that is a state,
-diverges from it by MIN_EVIDENCE nats over all its occurrences in the training texts; nothing else bounds the
-states, so they grow with the corpus. Each symbol is scored in the state of the longest suffix before it.
+diverges from it by MIN_EVIDENCE nats over all its occurrences in the training texts. Longer contexts than DEPTH aren't tried;
+nothing else bounds the states, so they grow with the corpus. Each symbol is scored in the state of the longest suffix before it.
 
 A token's probability is mixed from its spelling by the tree (TREE_SHARE) and the add-one unigram estimate, so
 that frequent words keep the weight that no short context can give them; the unigram estimate of a token that
-training lacks is spelled by the tree as well. Over all next tokens the mixture sums to 1 at most, so score is the
+training lacks is spelled by the tree as well, so a text of many unknown words scores below base_score, which spares it the spelling. Over all next tokens the mixture sums to 1 at most, so score is the
 log10 of a probability of the text.
 
 All of the corpus is counted. The tree is a table: a row for each different row of DEPTH + 1 symbols in
 the texts, with the probability of the last one in the state of the longest suffix; levels of it are made from
 shorter to longer contexts, by joins. Word counts are a table too. Neither is ever in one place: texts
-are dealt to blocks of about BLOCK_BYTES, and each block joins the rows for its own words and symbols.
+are dealt to blocks of about BLOCK_BYTES by a hash of id and text, so a task that is run again finds the same texts; each block joins the
+rows for its own words and symbols, and one that lacks any is an error.
 
-Defined results: a null text is empty and has the one token end; repeated rows are scored each;
+Defined results: a null text is empty and has the one token end; repeated rows are scored each, those of equal id and text in
+one block; a very long text is scored whole, in a block that holds at least all of it, with some 60 bytes of memory for each of its own;
 with nothing to learn from, every count is 0 and every symbol equally likely; an empty table
 gives an empty table; only the named columns are read.
 """
@@ -187,6 +189,16 @@ def _own(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(kinds), table.column("block")[0].as_py(), np.int32)), "kind": pa.array(kinds), "key": pa.array(np.concatenate(list(keys.values())))})
 
 
+def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The value of each of keys in known, ascending keys and their values."""
+    if not len(keys):
+        return known[1][:0]
+    place = np.minimum(np.searchsorted(known[0], keys), max(len(known[0]) - 1, 0))
+    if not len(known[0]) or (known[0][place] != keys).any():
+        raise ValueError("a block has texts that it was given no counts for: the input has changed while it was read")
+    return known[1][place]
+
+
 def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
     """The scores of a block's texts; given: kind, key and value of what the block has been given."""
     if not table.num_rows:
@@ -208,11 +220,11 @@ def _scored(table: pa.Table, given: pa.Table) -> pa.Table:
             n = part.num_rows
             symbols, begins, ends, found = spelled(part.column("text"))
             own, before = token_hashes(found, n)
-            count = known[WORD][1][np.searchsorted(known[WORD][0], own.view(np.int64))]
+            count = _looked_up(known[WORD], own.view(np.int64))
             keep, code = grams(symbols, begins)
             code, place = np.unique(code, return_inverse=True)
             sums = np.zeros(len(symbols) + 1)
-            sums[1:][keep] = known[GRAM][1][np.searchsorted(known[GRAM][0], code)][place]
+            sums[1:][keep] = _looked_up(known[GRAM], code)[place]
             np.cumsum(sums, out=sums)
             stop = np.empty(len(own), dtype=np.int64)  # the place after each token's symbols
             final = before[1:] - 1
@@ -253,8 +265,7 @@ def _scores(docs: DataFrame, training: Column, id_col: str, text_col: str, scrat
     # A probability's logarithm is rounded to 24 bits, which the shuffle compresses.
     values = of_words.select(kind(WORD), "key", F.col("n").cast("double").alias("value")).union(tree.select(kind(GRAM), "code", F.col("log10").cast("float").cast("double")))
 
-    # By the row's place, so that rows that are the same don't meet in one block.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     given = dealt.groupBy("block").applyInArrow(releasing_table(_own), "block int, kind tinyint, key long").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
     of_all = F.explode(F.array(*[F.struct(kind(k), F.lit(0).cast("long").alias("key"), F.col(c).cast("double").alias("value")) for k, c in ((TOKENS, "tokens"), (DISTINCT, "distinct"))])).alias("v")
     each_block = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
