@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import ngram_join, substring_dedup, template_decontam, words
 from tidemill.llm.components import components
+from tidemill.llm.storage import Scratch
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -330,6 +331,27 @@ def test_decontamination_equals_brute_force(spark):
     assert len(expected) > 50 and found == expected, (found - expected, expected - found)
 
 
+def test_a_window_that_a_thousand_items_share_is_counted_before_anything_is_made_of_it(spark, monkeypatch):
+    rng = random.Random(47)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = "which of the following is the best answer to"
+    items = [(i, shared + " " + plain(12)) for i in range(1000)]
+    texts = [f"{plain(5)} {shared} {plain(5)}" for _ in range(30)] + ["so " + items[77][1] + " or not"]
+    made = {}
+    written = Scratch.written
+
+    def recorded(self, df, name):
+        out = written(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "written", recorded)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = template_decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(30, 77)]
+    assert made["pairs"] == 1 and made["found"] < 200 < 30 * 1000
+
+
 def test_an_item_more_changes_no_other_items_leaks(spark):
     docs = spark.createDataFrame([(i, "so " * i + ITEM + " nine red pears") for i in range(4)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")

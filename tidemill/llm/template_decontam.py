@@ -11,14 +11,17 @@ A document can hold several questions like the item. The rule is applied to each
 windows at one distance from their places in the item, or at distances within one of DRIFTS (a name
 can have more tokens than the item's), and to the whole document; one that fulfils it is enough.
 
-Windows begin at every token on both sides, so every shared run of WINDOW tokens is met; the slots
-are taken only from texts that meet one. Equal texts are compared once.
+Windows begin at every token on both sides, so every shared run of WINDOW tokens is met. No occurrence has more of an
+item's windows than the whole text, so these are counted first, and slots and occurrences are looked at only for the pairs of a
+text and an item that reach COVERAGE so. Equal texts are compared once.
 
 Windows of which more than half are placeholders are no evidence. An item that has no other is
 compared by its own words, in lower case and without the punctuation around them: by windows of WINDOW
 words, or, if it has fewer words, by all of them in a row.
 
-Defined results: null texts count as empty, and an item without words is no evidence; rows of the
+Defined results: null texts count as empty, and an item without words is no evidence; a very long text is read whole, in one
+row; of a pair's occurrences the one with the most windows counts, then the one of the most consistent values, then one as in the item, then
+the one of the most slots; rows of the
 benchmark with equal item and text are one item, and repeated documents are each reported; an empty table on either side gives no rows; only the named columns are read.
 """
 
@@ -111,15 +114,18 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str,
     kinds = [F.struct(F.lit(0).alias("kind"), _template_hashes(F.col("t")).alias("hashes"))] + [F.struct(F.lit(size).alias("kind"), _plain_hashes(F.col("p"), F.lit(size)).alias("hashes")) for size in sizes_asked]
     met = met.select("key", F.explode(F.array(*kinds)).alias("k")).select("key", "k.kind", F.posexplode("k.hashes").alias("place", "hash"))
     met = met.join(sized(known), "hash", "left_semi").select("key", "kind", "place", "hash").distinct().withColumn("place", F.col("place") + 1)
-    met = scratch.written(met.groupBy("key").agg(F.collect_list(F.struct("kind", "place", "hash")).alias("met")), "met")
-    texts = own.join(sized(met.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(met, "key")
+    met = scratch.written(met, "met")
+    matched = met.select("key", "hash").distinct().join(sized(item_windows.select("n", "hash")), "hash").groupBy("key", "n").agg(F.count("*").alias("matched"))
+    pairs = scratch.written(matched.join(sized(sizes), "n").where(F.col("matched") >= COVERAGE * F.col("item_windows")).select("key", "n"), "pairs")
+    texts = own.join(sized(pairs.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = texts.join(met.groupBy("key").agg(F.collect_list(F.struct("kind", "place", "hash")).alias("met")), "key")
     texts = texts.select("key", "met", tokens(template(F.col("text"))).alias("t"), tokens(F.col("text")).alias("o"))
     slots = lambda m: F.when(m["kind"] == 0, _slots(m["place"])).otherwise(none)
     found = texts.select("key", F.explode(F.transform("met", lambda m: F.struct(m["place"].alias("place"), m["hash"].alias("hash"), slots(m).alias("values")))).alias("w")).select("key", "w.*")
     shift = F.col("place") - F.col("at")
     sort = lambda width, part, of: F.struct(F.lit(width).alias("width"), F.lit(part).alias("part"), of.cast("int").alias("of"))
     drifting = [sort(w, k, F.floor((shift + k * (w // 2)) / w)) for w in DRIFTS for k in (0, 1)]
-    found = found.join(sized(item_windows), "hash").withColumn("occurrence", F.explode(F.array(sort(0, 0, F.lit(0)), sort(1, 0, shift), *drifting)))
+    found = found.join(pairs.join(sized(item_windows), "n"), ["key", "hash"]).withColumn("occurrence", F.explode(F.array(sort(0, 0, F.lit(0)), sort(1, 0, shift), *drifting)))
     found = found.groupBy("key", "n", "occurrence", "hash").agg(F.first("item").alias("item"), F.first("slots").alias("slots"), F.min_by("values", "place").alias("values"))
     found = scratch.written(found, "found")
 
