@@ -1,4 +1,4 @@
-"""Every query that has SQL gives DuckDB's rows at the smallest scale."""
+"""Each query of the tables gives DuckDB's rows at the smallest scale."""
 
 import math
 import shutil
@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemill.plans import tables
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -21,7 +22,7 @@ def rows(frame):
     return columns, sorted((tuple(clean(x) for x in r) for r in frame[columns].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(tables.oracle_sql()))
 def test_matches_sql(spark, name):
     db = duckdb.connect()
     for path in Path(SF).glob("*.parquet"):
