@@ -214,6 +214,17 @@ def test_repeats_in_periodic_texts_are_all_cut(spark):
     assert all(r.likeness == 1 and r.cluster is not None for r in found)
 
 
+def test_pairs_that_sizes_keep_apart_are_not_compared():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 4000, n).astype(np.uint64)) for n in (5, 40, 50, 51, 400, 480, 3000)] * 3
+    sizes, whole = np.array([len(s) for s in sets]), slice(0, len(sets))
+    wanted = np.triu(ngram_join._of_like_size(sizes, 0.8, whole, whole), 1)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    can = {(i, j) for i, j in pairs if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
+    like_ones = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(wanted), strict=True)} == can and like_ones <= can and len(can) < 0.5 * len(pairs)
+
+
 def test_a_chain_of_lines_tells_its_likeness(spark):
     rng = random.Random(31)
     lines = [prose(rng, 80)]

@@ -9,7 +9,8 @@ full shingle sets are then compared exactly, each pair in the first band that it
 Buckets of the same classes are compared once. Small buckets share a task; a large one is cut into blocks
 of at most BLOCK classes and about BLOCK_BYTES, and each pair of blocks is a task of its own. A task returns counts of links and
 one edge for each class, never pairs, so a large group of near copies costs no pair rows. A bucket's work
-grows with the square of its classes: of those that share a band, no pair is left out. Joins skip the
+grows with the square of its classes: of those that share a band, no pair is left out but for those whose numbers of shingles alone
+keep them below the threshold. Joins skip the
 shuffle of the documents only while the list to join is small in bytes (storage.sized).
 
 Recall: a pair at the threshold shares a band with probability RECALL, one of more likeness with more
@@ -159,6 +160,12 @@ def _linked(sets: list[np.ndarray], copies: np.ndarray, wanted: np.ndarray, left
         label = new
 
 
+def _of_like_size(sizes: np.ndarray, threshold: float, left: slice, right: slice) -> np.ndarray:
+    """Which pairs of left and right can meet the threshold: no more shingles are shared than the smaller set has."""
+    a, b = sizes[left][:, None], sizes[right]
+    return np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-6
+
+
 def _wanted(bands: np.ndarray, band: int, left: slice, right: slice) -> np.ndarray:
     """Which pairs of left and right (each pair once) share no band before band."""
     wanted = np.ones((left.stop - left.start, right.stop - right.start), dtype=bool)
@@ -199,12 +206,13 @@ def linked_within(members: DataFrame, sets: DataFrame, threshold: float) -> Data
         lists = table.column("bands").combine_chunks()
         bands = lists.flatten().to_numpy().reshape(len(lists), -1)
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("set")]
+        sizes = np.array([len(s) for s in sets])
         bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         links, weight, least = np.zeros_like(node), np.zeros_like(node), node.copy()
         for a, b in zip(bounds, bounds[1:], strict=False):
             n, cut = b - a, int(np.searchsorted(block[a:b], block[b - 1])) if across else None
             left, right = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
-            wanted = _wanted(bands[a:b], band[a], left, right)
+            wanted = _wanted(bands[a:b], band[a], left, right) & _of_like_size(sizes[a:b], threshold, left, right)
             if wanted.any():
                 links[a:b], weight[a:b], label = _linked(sets[a:b], copies[a:b], wanted, left, right, threshold)
                 least[a:b] = node[a:b][label]
