@@ -338,7 +338,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", _text_id(F.col("text")))
     texts = own.select("t", "text")
     buckets = _mapped(texts, _banded, "hash long, t long").groupBy("hash").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("hash")
@@ -389,6 +388,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     passages = runs.unionByName(lines).groupBy("t", "first_id", "first_word", "n_words", "kept_id").agg(F.min("cluster").alias("cluster"), F.max("likeness").alias("likeness"))
     passages = passages.select(F.col("first_id").alias("id"), F.col("t").alias("text_id"), "first_word", "n_words", "cluster", "kept_id", "likeness")
 
+    # Words are counted of copies only: as the count looks at both sides of the join, Spark doesn't filter all texts by it first.
+    n_words = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
     copies = own.join(sized(several), "t").where("not (id <=> first_id)")
     copies = copies.select("id", F.col("t").alias("text_id"), F.lit(0).alias("first_word"), n_words.alias("n_words"), F.col("t").alias("cluster"), F.col("first_id").alias("kept_id"), F.lit(1.0).alias("likeness")).where(F.col("n_words") >= MIN_WORDS)
     return passages.unionByName(copies.distinct()).withColumnRenamed("id", id_col)
