@@ -227,6 +227,13 @@ def test_ordinal_fit_is_the_least_of_the_brute_force_loss():
     assert means == sorted(means) and np.corrcoef(severity, own)[0, 1] > 0.6
 
 
+def test_equally_probable_grades_and_null_ids(spark):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), np.array([0.0, 40.0]))
+    docs = spark.createDataFrame([(None, "a text", 1), (1, "a text", 1), (1, "a text", 1), (None, None, 1)], "doc_id long, text string, grade int")
+    found = toxicity.grade(docs, model).collect()
+    assert sorted((str(r.doc_id), r.grade, r.toxic, round(r.severity, 9)) for r in found) == [("1", 0, False, 0.5)] * 2 + [("None", 0, False, 0.0), ("None", 0, False, 0.5)]
+
+
 def test_toxicity_learns_supplied_grades_of_repeated_and_long_rows(spark):
     words = ["calm", "rude", "vile"]
     docs = spark.createDataFrame([(i, f"a {words[i % 3]} text number {i % 5}") for i in range(120)] * 2 + [(500, "vile text " * 60_000), (501, "x" * 200_000)], "doc_id long, text string")

@@ -76,6 +76,13 @@ def test_merkle_of_repeated_and_null_ids(spark):
     assert dealt == sorted(dealt) and [len(set(dealt[a : a + 10])) for a in range(0, 50, 10)] == [1, 4, 1, 2, 1]  # one id's rows are spread
 
 
+def test_merkle_of_a_long_text_of_many_paragraphs(spark):
+    long = "\n\n".join("\n".join(f"Paragraph {s} {p}, with a clause. And another sentence, of two clauses" for p in range(5)) for s in range(4000))
+    rows = [(1, long), (2, "short. text"), (3, long[:-1])]
+    assert len(long) > 1_000_000
+    assert not merkle_differs(merkle.edit_report(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_merkle_likeness_of_texts_without_a_clause_in_common(spark):
     docs = spark.createDataFrame([(1, "apple\n\nbread"), (2, "chair\n\ndoor\n"), (3, "\n")], "doc_id long, text string")
     assert {r.doc_id: r.near_next for r in merkle.edit_report(docs).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}

@@ -10,7 +10,7 @@ table of BUCKETS rows, broadcast at a fixed size; it runs map-only over whole te
 
 Defined results: a text that is null or has no letter gets the language und, score 0, and is
 rejected; so does every text if there is no labelled row to learn from. Null languages are not
-learned; a text of equal probabilities gets the first of these languages in code point order. Repeated rows are judged alike and learned once; an empty table gives an empty table; only the named
+learned; a very long text is judged whole, alone in its slice, but not learned from beyond SAMPLE_CHARS; a text of equal probabilities gets the first of these languages in code point order. Repeated rows are judged alike and learned once; an empty table gives an empty table; only the named
 columns are read, so further columns never clash.
 """
 

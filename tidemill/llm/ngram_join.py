@@ -17,7 +17,7 @@ Recall: a pair at the threshold shares a band with probability RECALL, one of mo
 (0.85: 0.99995); pairs that share none are not linked. Every link that is given is exact.
 
 Defined results: a text that is null or has no word is linked to nothing; one of fewer words than
-a shingle has one shingle of them all; rows that repeat an id are one document for the group's
+a shingle has one shingle of them all; a very long text is compared whole, its set of shingles being one value; rows that repeat an id are one document for the group's
 least id and are otherwise counted like any others; a null id can be in a group but is its least
 only if all are null; an empty table gives an empty table; only the named columns are read.
 """

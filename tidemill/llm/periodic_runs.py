@@ -18,7 +18,7 @@ fourfold. No suffix array, tree or hash is made.
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, in their case; a null or empty text has no
 words and no runs; of runs of equal length the one of the smallest start, then period, is the longest; runs can overlap, and
 each counts; rows that repeat an id each get a row; a null id is carried; a very long text is read whole, alone in its
-slice, with a few dozen bytes for each word; an empty table gives an empty table; only the named columns are read.
+slice, with some 150 bytes of memory for each word; an empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations

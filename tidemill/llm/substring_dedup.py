@@ -26,7 +26,8 @@ No group is gathered: but for blocks, a bucket or a cluster is known by its leas
 aggregates before its shuffle, so a passage in a third of all documents costs one row for each.
 
 Defined results: words are runs of bytes other than white space, compared without case (A-Z); a
-text that is null or has under MIN_WORDS words repeats nothing; repeats within one text stay;
+text that is null or has under MIN_WORDS words repeats nothing; a very long text is compared whole, alone in its slice, with some 100 bytes
+of memory for each of its words; repeats within one text stay;
 rows with equal id and text are one document; a null id counts as the least; an empty table gives an
 empty table; columns other than id and text are carried as they are.
 """

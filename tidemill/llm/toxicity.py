@@ -11,7 +11,7 @@ synthetic: severity_grades makes them from how many of the telling features a to
 order toxic texts by the amount of such words and are no independent judgement of severity.
 
 Defined results: a text that is null, or has no letter or digit, has no features and severity 0. If
-no labelled row exists, every text has severity 0. Labels without a document, and null labels, are not used. Repeated
+no labelled row exists, every text has severity 0. A very long text is graded whole, but not learned from beyond SAMPLE_CHARS; a null id is carried. Labels without a document, and null labels, are not used. Repeated
 rows are graded alike, and of the rows of one labelled id one is learned from; of equally probable grades the lowest is given; an empty table gives an empty table; only the named columns are read.
 """
 
