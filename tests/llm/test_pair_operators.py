@@ -225,6 +225,20 @@ def test_pairs_that_sizes_keep_apart_are_not_compared():
     assert {(int(i), int(j)) for i, j in zip(*np.nonzero(wanted), strict=True)} == can and like_ones <= can and len(can) < 0.5 * len(pairs)
 
 
+@pytest.mark.parametrize("n", [0, 3, 20_000])
+def test_filter_follows_the_number_of_buckets(spark, n):
+    rng = np.random.default_rng(n)
+    hashes, others = rng.integers(-(2**63), 2**63, n), rng.integers(-(2**63), 2**63, 20_000)
+    filtered = substring_dedup._filter(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))
+    assert 8 * len(filtered) <= max(64 * n, 1 << 13)
+
+    def passes(x):
+        bit = x.view(np.uint64) & np.uint64(8 * len(filtered) - 1)
+        return (filtered[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+
+    assert passes(hashes).all() and passes(others).mean() < 0.05
+
+
 def test_a_chain_of_lines_tells_its_likeness(spark):
     rng = random.Random(31)
     lines = [prose(rng, 80)]

@@ -52,8 +52,9 @@ ROWS, RECALL = 2, 0.999
 LINE_BANDS, BANDS = band_count(THRESHOLD, ROWS, RECALL), band_count(THRESHOLD, ROWS, 0.98)
 #: Two paragraphs in one passage of MIN_WORDS words have so many more words in common on one side at least.
 SIDE = (MIN_WORDS - PARAGRAPH) // 2
-#: Bits of the filter by which most paragraphs that collide with none stay out of a shuffle, and parts that it is made in.
-FILTER_BITS, FILTER_PARTS = 1 << 26, 1 << 9
+#: Of the filter by which most paragraphs that collide with none stay out of a shuffle: bits for each bucket, so that 1 in 32 others passes;
+#: the most bits (32 MB; beyond 8 million buckets more pass, and the join with the buckets does the rest), and the parts that it is made in.
+FILTER_SHARE, FILTER_BITS, FILTER_PARTS = 32, 1 << 28, 1 << 9
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -190,8 +191,9 @@ def _banded(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _filter(buckets: DataFrame) -> np.ndarray:
-    """One bit for each bucket's hash modulo FILTER_BITS, always FILTER_BITS / 8 bytes: the larger the input, the less it keeps out."""
-    width = FILTER_BITS // FILTER_PARTS
+    """One bit for each bucket's hash modulo their number, which follows the number of buckets."""
+    size = min(FILTER_BITS, 1 << (FILTER_SHARE * buckets.count() + FILTER_PARTS * 8 - 1).bit_length())
+    width = size // FILTER_PARTS
 
     def made(table: pa.Table) -> pa.Table:
         bit = table.column("bit").to_numpy()
@@ -199,7 +201,7 @@ def _filter(buckets: DataFrame) -> np.ndarray:
         bits[bit % width] = True
         return pa.table({"part": pa.array(bit[:1] // width), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.col("hash").bitwiseAND(F.lit(size - 1))
     parts = buckets.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / width)).applyInArrow(made, "part long, bits binary").toArrow()
     out = np.zeros((FILTER_PARTS, width // 8), dtype=np.uint8)
     for part, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist(), strict=True):
@@ -214,7 +216,7 @@ def _listed(part: pa.RecordBatch, filtered: np.ndarray) -> pa.RecordBatch:
     keys = found.own_keys()
     content, lines = found.bands(first)
     bands = np.concatenate((np.pad(content, ((0, 0), (0, LINE_BANDS - BANDS))), lines))
-    bit = bands & np.uint64(FILTER_BITS - 1)
+    bit = bands & np.uint64(8 * len(filtered) - 1)
     passes = (filtered[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
     passes[first < len(content), BANDS:] = False
     kept = passes.any(axis=1)
